@@ -11,12 +11,13 @@ kept; null values give no cell; attributes without a column are left out; an ent
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: The columns of the wide table, and other names of some keys.
@@ -27,20 +28,37 @@ GTF_COLUMNS = {
 GTF_SYNONYMS = {"gene": "gene_name", "gene_biotype": "gene_type", "transcript_biotype": "transcript_type"}
 GTF_LISTED = ("tag",)
 
-_PAIR = r"""(?:^|;)\s*([^\s;="']+)(?:\s*=\s*|\s+)("[^"]*"|'.*?'(?=\s*(?:;|\z))|[^;]*)"""
+#: Key, then a value in double quotes, in single quotes (up to the one before a semicolon or the end) or bare.
+_PAIR = r"""(?:^|;)\s*([^\s;="']+)(?:\s*=\s*|\s+)(?:"([^"]*)"|'(.*?)'(?=\s*(?:;|\Z))|([^;]*))"""
 
 
 def attribute_rows(df: DataFrame, entity: str, attributes: str, synonyms: dict[str, str] | None = None) -> DataFrame:
     """(entity, attribute, pos, value) of each pair of a GTF attribute column in any house style; keys in lower case, values bare or null."""
-    names = GTF_SYNONYMS if synonyms is None else synonyms
-    pairs = F.arrays_zip(F.regexp_extract_all(attributes, F.lit(_PAIR), 1).alias("k"), F.regexp_extract_all(attributes, F.lit(_PAIR), 2).alias("v"))
-    cut_rows = df.select(entity, F.posexplode(pairs).alias("pos", "x"))
-    key: Column = F.lower("x.k")
-    if names:
-        key = F.coalesce(F.create_map(*[F.lit(y) for x in names.items() for y in x])[key], key)
-    trimmed = F.regexp_replace(F.col("x.v"), r"^\s+|\s+\z", "")
-    bare = F.regexp_replace(F.regexp_replace(trimmed, r"""^(["'])(.*)\1\z""", "$2"), r"^\s+|\s+\z", "")
-    return cut_rows.select(entity, key.alias("attribute"), F.col("pos").cast("bigint").alias("pos"), F.when(~bare.isin("", "."), bare).alias("value"))
+    names = dict(GTF_SYNONYMS if synonyms is None else synonyms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, known = re.compile(_PAIR, re.DOTALL).findall, {}
+        for b in batches:
+            rows, keys, pos, values = [], [], [], []
+            for r, text in enumerate(b.column(1).to_pylist()):
+                if text:
+                    for i, (k, double, single, bare) in enumerate(pairs(text)):
+                        key = known.get(k)
+                        if key is None:
+                            low = k.lower()
+                            key = names.get(low, low)
+                            if len(known) < 100_000:
+                                known[k] = key
+                        v = (double or single or bare).strip()
+                        rows.append(r)
+                        keys.append(key)
+                        pos.append(i)
+                        values.append(None if v == "" or v == "." else v)
+            ids = b.column(0).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.string()), pa.array(pos, pa.int64()), pa.array(values, pa.string())], names=[entity, "attribute", "pos", "value"])
+
+    schema = f"`{entity}` {df.schema[entity].dataType.simpleString()}, attribute string, pos bigint, value string"
+    return df.select(entity, attributes).mapInArrow(run, schema)
 
 
 def _starts(x: np.ndarray) -> np.ndarray:

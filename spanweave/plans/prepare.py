@@ -104,13 +104,30 @@ def p3_gene(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("gene_id", "n_rows", F.col("n_members").alias("n_transcripts")).join(extent, "gene_id", "left")
 
 
-@R.add("p4_found")
+_PAIRS_SQL = r"""regexp_extract_all(t, '[\s;]*([^\s;="'']+)(?:\s*=\s*|\s+)("[^"]*"\s*;|''.*?''\s*;|[^;]*;)', {})"""
+_CELLS = (
+    f"""WITH a AS (SELECT record_id, attributes || ';' AS t FROM gtf WHERE %s),
+p AS (SELECT record_id, unnest({_PAIRS_SQL.format(1)}) AS k, unnest({_PAIRS_SQL.format(2)}) AS v, unnest(range(len({_PAIRS_SQL.format(1)}))) AS pos FROM a),"""
+    + r"""q AS (SELECT record_id, pos, lower(k) AS k, trim(regexp_replace(v, '\s*;$', '')) AS v FROM p),
+n AS (SELECT record_id, pos, CASE k WHEN 'gene' THEN 'gene_name' WHEN 'gene_biotype' THEN 'gene_type' WHEN 'transcript_biotype' THEN 'transcript_type' ELSE k END AS k,
+ trim(CASE WHEN length(v) > 1 AND v[1] IN ('"', chr(39)) AND v[-1] = v[1] THEN v[2:-2] ELSE v END) AS v FROM q),
+m AS (SELECT * FROM n WHERE v NOT IN ('', '.')),
+c AS (SELECT record_id, k AS col_name, first(v ORDER BY pos) AS cell FROM m
+ WHERE k IN ('gene_id', 'transcript_id', 'gene_name', 'gene_type', 'transcript_type') GROUP BY record_id, k
+ UNION ALL SELECT record_id, k, string_agg(v, ',' ORDER BY pos) FROM m WHERE k = 'tag' GROUP BY record_id, k
+ UNION ALL SELECT record_id, k, first(v::BIGINT ORDER BY pos)::VARCHAR FROM m
+ WHERE k IN ('exon_number', 'level', 'support') AND regexp_full_match(v, '[+-]?[0-9]+') GROUP BY record_id, k) """
+)
+_WIDE = ", ".join(f"max(CASE WHEN col_name = '{c}' THEN cell END)::{'BIGINT' if k == 'bigint' else 'VARCHAR'} AS {c}" for c, k in wide.GTF_COLUMNS.items())
+
+
+@R.add("p4_found", _CELLS % "source = 'curated'" + "SELECT * FROM c")
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     got = wide.gtf_wide(load(spark, d, "gtf").where(F.col("source") == "curated"))
     return wide.cells(got, "record_id", list(wide.GTF_COLUMNS))
 
 
-@R.add("p4_wide")
+@R.add("p4_wide", _CELLS % "true" + f"SELECT g.record_id, {_WIDE} FROM gtf g LEFT JOIN c ON g.record_id = c.record_id GROUP BY g.record_id")
 def p4_wide(spark: SparkSession, d: str) -> DataFrame:
     return wide.gtf_wide(load(spark, d, "gtf"))
 
