@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 #: What stands between values.
 SEPARATORS = (",", ";", ":", "|", "/", "，")
 QUOTES = ('"', "'")
-SPACES = " \t\n\r\x0b\x0c\x85\xa0                　"
+SPACES = " \t\n\r\x0b\x0c\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Known whole values of block lists: the whole numbers below this one, besides the place-holders for a missing value.
 KNOWN_NUMBERS = 10_000
 PLACE_HOLDERS = ("nil", "NA", "?", "-", ".")
