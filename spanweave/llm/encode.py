@@ -11,12 +11,11 @@ from __future__ import annotations
 
 import heapq
 import json
-import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 BYTE_BPE_50K = "/opt/tokenizers/byte_bpe_50k.json"
@@ -27,23 +26,64 @@ REMEMBERED, CHUNK = 400_000, 2_000_000
 LONGEST_ROW = 256
 _WIDTHS = (2, 3, 4, 5, 6, 7, 8, 10, 12, 16, 24, 32, 48, 64, 96, 128, 192, LONGEST_ROW)
 _BITS, _MULT = 18, np.uint64(0x9E3779B97F4A7C15)
+_KNOWN_BITS = 21
+_BASE = np.uint64(0xD6E8FEB86659FD93)
 _NONE = np.int32(2**31 - 1)
 
+_OTHER, _LETTER, _DIGIT, _SPACE = range(4)
 #: Fixed value: white space of the pattern; the Unicode property, which differs from Python's class.
 _S = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: The pattern of the vocabulary on text of ASCII characters only, where letters and digits are plain ranges.
-_ASCII = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^{_S}A-Za-z0-9]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+#: The endings that the pattern takes as pieces, after an apostrophe that begins a piece.
+_ENDINGS = ("s", "t", "m", "d", "re", "ve", "ll")
 
 
-@lru_cache
-def _unicode_pattern():
-    import regex
+def _kinds() -> np.ndarray:
+    """The class of every code point, as the pattern sees it."""
+    out = np.full(0x110000, _OTHER, np.uint8)
+    for lo, hi in ((0, 0xD800), (0xE000, 0x110000)):
+        every = "".join(map(chr, range(lo, hi)))
+        for kind, what in ((_LETTER, r"\p{L}+"), (_DIGIT, r"\p{N}+"), (_SPACE, f"[{_S}]+")):
+            for m in regex.finditer(what, every):
+                out[lo + m.start() : lo + m.end()] = kind
+    return out
 
-    return regex.compile(rf"'(?:[stmd]|re|ve|ll)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
+def piece_starts(codes: np.ndarray, kinds: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where the pieces of the pattern begin in texts laid end to end, which begin at ``first``.
 
-def pieces_of(text: str) -> list[str]:
-    return (_ASCII if text.isascii() else _unicode_pattern()).findall(text)
+    A piece is an ending such as 's; or letters, digits or other characters, with the space before them; or white space, of which the last character stays
+    apart if text follows.
+    """
+    n = len(codes)
+    kind = kinds[codes]
+    head = np.zeros(n + 1, bool)
+    head[first] = True
+    head[n] = True
+    space = kind == _SPACE
+    start = head[:n].copy()
+    start[1:] |= kind[1:] != kind[:-1]
+    blank = codes == 32
+    # a space right before text belongs to it
+    before = np.zeros(n, bool)
+    before[1:] = blank[:-1] & ~space[1:] & ~head[1:n]
+    start &= ~before
+    # the last white space of a run, if text follows in the same text
+    last = np.zeros(n, bool)
+    last[:-1] = space[:-1] & ~space[1:] & ~head[1:n]
+    start |= last
+    # endings after an apostrophe that begins a piece
+    at = np.flatnonzero((codes == 39) & start)
+    if len(at):
+        pad = np.concatenate([codes, np.zeros(2, codes.dtype)])
+        ends = np.concatenate([head, np.ones(2, bool)])
+        one, two = np.where(ends[at + 1], 0, pad[at + 1]), np.where(ends[at + 1] | ends[at + 2], 0, pad[at + 2])
+        for e in _ENDINGS:
+            hit = at[(one == ord(e[0])) & ((two == ord(e[1])) if len(e) > 1 else True)]
+            start[hit + 1] = False
+            after = hit + 1 + len(e)
+            start[after[after < n]] = True
+            # a space right after an ending and before text is already a start; nothing else moves
+    return np.flatnonzero(start)
 
 
 def _byte_letters() -> dict[str, int]:
@@ -63,12 +103,24 @@ def load_tables(path: str) -> dict[str, np.ndarray]:
         single[byte] = ids[letter]
     merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
     pairs = np.array([[ids[a], ids[b], ids[a + b]] for a, b in merges], np.int64)
-    return {"single": single, "pairs": pairs}
+    return {"single": single, "pairs": pairs, "kinds": _kinds()}
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = x + np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 class Encoder:
     def __init__(self, tables: dict[str, np.ndarray]) -> None:
-        self.single, pairs = tables["single"], tables["pairs"]
+        self.single, pairs, self.kinds = tables["single"], tables["pairs"], tables["kinds"]
+        self.mixed = _mix(np.arange(0x110000, dtype=np.uint64))
+        self.power = self.inverse = np.ones(1, np.uint64)
         size = 1 << _BITS
         self.keys, self.rank, self.into = np.full(size, -1, np.int64), np.full(size, _NONE, np.int32), np.zeros(size, np.int32)
         seen = set()
@@ -83,18 +135,50 @@ class Encoder:
             self.keys[at], self.rank[at], self.into[at] = key, r, c
         self.forget()
 
-    def forget(self) -> None:
-        self.new: list[str] = []
-        new = self.new
+    def forget(self, bits: int = _KNOWN_BITS) -> None:
+        self.size, self.bits = 0, bits
+        self.hashes, self.place = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+        self.flat, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
-        class Known(dict):
-            def __missing__(self, piece: str) -> int:
-                self[piece] = at = len(self)
-                new.append(piece)
-                return at
+    def _powers(self, n: int) -> None:
+        if n > len(self.power):
+            n = max(n, CHUNK + 1)
+            for name, base in (("power", int(_BASE)), ("inverse", pow(int(_BASE), -1, 1 << 64))):
+                p = np.full(n, np.uint64(base))
+                p[0] = 1
+                setattr(self, name, np.multiply.accumulate(p))
+
+    def _known(self, hashes: np.ndarray) -> np.ndarray:
+        """The store's index of each piece, -1 where it is new."""
+        mask = (1 << self.bits) - 1
+        slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        out = self.place[slot]
+        open_ = np.flatnonzero((self.hashes[slot] != hashes) & (out >= 0))
+        slot = slot[open_]
+        while len(open_):
+            slot = (slot + 1) & mask
+            got = self.place[slot]
+            same = self.hashes[slot] == hashes[open_]
+            out[open_] = np.where(same, got, -1)
+            go = ~same & (got >= 0)
+            open_, slot = open_[go], slot[go]
+        return out
 
-        self.known = Known()
-        self.flat, self.ends = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    def _remember(self, hashes: np.ndarray) -> None:
+        """Give the new pieces, all different, the next indices."""
+        mask = (1 << self.bits) - 1
+        left = np.arange(len(hashes))
+        slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(left):
+            free = self.place[slot] < 0
+            some, at = left[free], slot[free]
+            self.place[at] = self.size + some  # of several that want a slot, one gets it
+            won = self.place[at] == self.size + some
+            self.hashes[at[won]] = hashes[some[won]]
+            lost = np.ones(len(left), bool)
+            lost[np.flatnonzero(free)[won]] = False
+            left, slot = left[lost], (slot[lost] + 1) & mask
+        self.size += len(hashes)
 
     @staticmethod
     def _slot(keys: np.ndarray) -> np.ndarray:
@@ -178,10 +262,8 @@ class Encoder:
                         heapq.heappush(heap, (r, p, *pair, t))
         return [x for x in ids if x >= 0]
 
-    def _learn(self) -> None:
-        """Encode the new pieces and append them to the store."""
-        raw = [p.encode() for p in self.new]
-        self.new.clear()
+    def _learn(self, raw: list[bytes]) -> None:
+        """Encode new pieces and append them to the store."""
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         at = np.r_[0, np.cumsum(size)]
         ids = self.single[np.frombuffer(b"".join(raw), np.uint8)]
@@ -213,25 +295,38 @@ class Encoder:
                 inside = m >= 0
                 place = (ends[rows] - count[rows])[:, None] + np.arange(m.shape[1])
                 flat[place[inside]] = m[inside]
-        self.flat.append(flat)
-        self.ends.append(self.ends[-1][-1] + ends)
-        self.flat, self.ends = [np.concatenate(self.flat)], [np.concatenate(self.ends)]
+        self.ends = np.concatenate([self.ends, self.ends[-1] + ends])
+        self.flat = np.concatenate([self.flat, flat])
 
     def batch(self, texts: list[str | None]) -> pa.ListArray:
         """The ids of each text."""
-        if len(self.known) > REMEMBERED:
-            self.forget()
-        pieces: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            if t:
-                some = pieces_of(t)
-                counts[i] = len(some)
-                pieces += some
-        index = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
-        if self.new:
-            self._learn()
-        flat, ends = self.flat[0], self.ends[0]
+        if self.size > REMEMBERED:
+            self.forget()  # the table is bounded
+        full = "".join(t for t in texts if t)
+        chars = np.fromiter((len(t) if t else 0 for t in texts), np.int64, len(texts))
+        codes = np.frombuffer(full.encode("utf-32-le"), np.uint32)
+        n = len(codes)
+        doc_ends = np.cumsum(chars)
+        starts = piece_starts(codes, self.kinds, (doc_ends - chars)[chars > 0]) if n else np.zeros(0, np.int64)
+        if self.size + len(starts) > 1 << (self.bits - 1):  # one very long text
+            self.forget(max(_KNOWN_BITS, 1 + len(starts).bit_length()))
+        self._powers(n + 1)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.mixed[codes] * self.power[:n], out=sums[1:])
+        ends = np.append(starts[1:], n)
+        hashes = _mix((sums[ends] - sums[starts]) * self.inverse[starts])
+        index = self._known(hashes)
+        new = np.flatnonzero(index < 0)
+        for s in range(0, len(new), REMEMBERED):
+            some = new[s : s + REMEMBERED]
+            some = some[self._known(hashes[some]) < 0]
+            fresh, where = np.unique(hashes[some], return_index=True)
+            where = some[where]
+            self._learn([full[a:b].encode() for a, b in zip(starts[where].tolist(), ends[where].tolist())])
+            self._remember(fresh)
+        index[new] = self._known(hashes[new])
+        counts = np.diff(np.searchsorted(starts, np.r_[0, doc_ends]))
+        flat, ends = self.flat, self.ends
         start = ends[index]
         size = ends[index + 1] - start if len(index) else start
         upto = np.r_[0, np.cumsum(size)]
