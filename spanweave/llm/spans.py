@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from spanweave.runtime import cut
 
-LENGTH, GRAM = 300, 32
+LENGTH, GRAM = 300, 96
 TOGETHER = 4096
 #: Characters hashed at once, and windows of one text that are taken together (longer texts go in pieces that overlap).
 CHUNK, PIECE = 1 << 20, 1 << 22
