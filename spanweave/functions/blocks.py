@@ -54,13 +54,13 @@ def runs_of_one(values: Column) -> Column:
 
 
 def fragment_strand(strand: Column, rule: str, read2: Column) -> Column:
-    """strand of the fragment. Rules ``1+-,1-+,2++,2--`` and ``+-,-+`` flip it, ``1++,1--,2+-,2-+`` and ``++,--`` do not; the second read flips it once more; a second read without strand is ``+``."""
+    """strand of the fragment. Rules ``1+-,1-+,2++,2--`` and ``+-,-+`` flip it, ``1++,1--,2+-,2-+`` and ``++,--`` do not; the second read flips it once more; a second read without strand is ``+``, a first one stays without."""
     flips = rule in ("1+-,1-+,2++,2--", "+-,-+")
     second = F.coalesce(read2, F.lit(False))
     known = strand.isin("+", "-")
     flipped = F.when(strand == "+", "-").when(strand == "-", "+")
     out = F.when(second != F.lit(flips), flipped).otherwise(strand)
-    return F.when(known, out).when(second, "+").otherwise(strand)
+    return F.when(known, out).when(second, "+")
 
 
 def tss(start: Column, end: Column, strand: Column) -> Column:

@@ -190,26 +190,30 @@ def _runs_exact(df: DataFrame, keys: list[str]) -> DataFrame:
     return merge(half, keys).select(*keys, F.expr("start div 2").alias("start"), F.expr("(end + 1) div 2").alias("end"))
 
 
-def merge_blocks(a: Column, b: Column) -> Column:
-    """I8: blocks of two mates as one list, overlapping and touching blocks joined; arrays of (start, end) structs."""
-    every = F.array_sort(F.concat(a, b))
-    none = F.filter(every, lambda x: F.lit(False))
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
-        return F.when((F.size(acc) > 0) & (x["start"] <= F.try_element_at(acc, F.lit(-1))["end"]), joined).otherwise(F.concat(acc, F.array(x)))
-
-    return F.aggregate(every, none, step)
+def _gaps(x: Column) -> Column:
+    """Junctions: what lies between the blocks of one mate."""
+    pairs = F.arrays_zip(F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0))).alias("a"), F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0))).alias("b"))
+    return F.transform(pairs, lambda p: F.struct(p["a"]["end"].alias("start"), p["b"]["start"].alias("end")))
 
 
 def junctions_conflict(a: Column, b: Column) -> Column:
-    """I8's flag: within the overlap of two mates one has a gap where the other has a block."""
-    lo = F.greatest(F.array_min(a)["start"], F.array_min(b)["start"])
-    hi = F.least(F.array_max(F.transform(a, lambda x: x["end"])), F.array_max(F.transform(b, lambda x: x["end"])))
+    """I8's flag for two mates whose blocks overlap: different junctions of the two overlap, or the junctions of one lie over blocks of the other, which has none."""
+    ja, jb = _gaps(a), _gaps(b)
+    differ = F.exists(ja, lambda x: F.exists(jb, lambda y: ((x["start"] != y["start"]) | (x["end"] != y["end"])) & overlaps(x["start"], x["end"], y["start"], y["end"])))
+    one = F.when(F.size(jb) == 0, any_overlap(ja, b)).when(F.size(ja) == 0, any_overlap(a, jb)).otherwise(F.lit(False))
+    return any_overlap(a, b) & F.when((F.size(ja) > 0) & (F.size(jb) > 0), differ).otherwise(one)
 
-    def within(x: Column) -> Column:
-        clipped = F.transform(x, lambda y: F.struct(F.greatest(y["start"], lo).alias("start"), F.least(y["end"], hi).alias("end")))
-        return F.filter(clipped, lambda y: y["start"] < y["end"])
 
-    return (lo < hi) & (F.to_json(within(a)) != F.to_json(within(b)))
+def merge_blocks(a: Column, b: Column) -> Column:
+    """I8: the blocks of a fragment from those of its mates: apart, both in order; overlapping, the hull without the junctions of either. In conflict the
+    blocks of the only mate with junctions, or null if both have some."""
+    ja, jb = _gaps(a), _gaps(b)
+    every = F.array_sort(F.array_distinct(F.concat(ja, jb)))
+    lo = F.least(F.array_min(F.transform(a, lambda x: x["start"])), F.array_min(F.transform(b, lambda x: x["start"])))
+    hi = F.greatest(F.array_max(F.transform(a, lambda x: x["end"])), F.array_max(F.transform(b, lambda x: x["end"])))
+    starts = F.concat(F.array(lo), F.transform(every, lambda x: x["end"]))
+    ends = F.concat(F.transform(every, lambda x: x["start"]), F.array(hi))
+    hull = F.transform(F.arrays_zip(starts.alias("start"), ends.alias("end")), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    conflict = junctions_conflict(a, b)
+    lone = F.when(F.size(jb) == 0, a).when(F.size(ja) == 0, b)
+    return F.when(~any_overlap(a, b), F.array_sort(F.concat(a, b))).when(conflict, lone).otherwise(hull)

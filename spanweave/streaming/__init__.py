@@ -1 +1 @@
-"""See the modules of this package."""
+"""Event-time forms of the ordered-stream operators."""
