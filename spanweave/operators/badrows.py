@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 RAW = "_corrupt_line"
+#: Pieces of a line that the reader sees; a line with more has too many columns anyway.
+_MOST = 10_000
 
 
 def _schema(spec: str) -> T.StructType:
@@ -30,8 +32,8 @@ SCHEMAS = {
 
 _TOKEN = r'[^\s";]+'
 _PAIR = rf'{_TOKEN}\s+(?:"[^"]*"|{_TOKEN})'
-#: One or more ``key value`` pairs between single semicolons, the last one optional.
-ATTRIBUTES_FORM = rf"^\s*{_PAIR}\s*(?:;\s*{_PAIR}\s*)*+;?\s*\z"
+#: A pair between the start or a semicolon and a semicolon or the end. Pairs are found one by one, as a repeated group would overflow the stack on long columns.
+_PLACED_PAIR = rf"(?:^|;)\s*{_PAIR}\s*(?=;|\z)"
 #: A quoted value in its place: after key and white space, before a semicolon or the end.
 _PLACED = rf'(^|;)(\s*{_TOKEN}\s+)"[^"]*"(?=\s*(?:;|\z))'
 NUMBER = r"^[+-]?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?\z"
@@ -39,7 +41,9 @@ SCORE_0_1000 = r"^0*(?:[0-9]{1,3}|1000)\z"
 
 
 def attributes_sound(attributes: Column) -> Column:
-    return attributes.rlike(ATTRIBUTES_FORM)
+    """One or more ``key value`` pairs between single semicolons, the last one optional."""
+    marked = F.regexp_replace(F.translate(attributes, "\x01", "x"), _PLACED_PAIR, "\x01")
+    return marked.rlike("^\x01+(?:;\\s*)?\\z") & ~attributes.rlike(r"^\s*;")
 
 
 def quotes_at_fault(attributes: Column) -> Column:
@@ -57,7 +61,7 @@ def parse_lines(df: DataFrame, kind: str, line: str = "line", reason: str = "rea
     schema = SCHEMAS[kind]
     wide = T.StructType([*schema.fields, T.StructField(RAW, T.StringType())])
     text = F.regexp_replace(F.col(line), r"\r\z", "")
-    options = {"mode": "PERMISSIVE", "sep": "\t", "quote": "", "escape": "", "columnNameOfCorruptRecord": RAW, "maxCharsPerColumn": "-1"}
+    options = {"mode": "PERMISSIVE", "sep": "\t", "quote": "", "escape": "", "columnNameOfCorruptRecord": RAW, "maxCharsPerColumn": "-1", "maxColumns": str(2 * _MOST)}
     parts = F.split(F.col("_text"), "\t", -1)
     score = F.get(F.col("_parts"), F.lit(schema.fieldNames().index("score")))
     if kind == "gtf":
@@ -72,17 +76,17 @@ def parse_lines(df: DataFrame, kind: str, line: str = "line", reason: str = "rea
         .when(value, "value")
         .when(F.col(f"_read.{RAW}").isNotNull(), "type")
     )
-    keep = [F.col(c) for c in df.columns if c not in (reason, record)]
     fields = F.struct(*[F.col(f"_read.{n}").alias(n) for n in schema.fieldNames()])
-    return (
-        df.withColumn("_text", text)
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wide)
+    read = (
+        df.select(F.struct(*df.columns).alias("_in"), text.alias("_text"))
         .where((F.col("_text") != "") & ~F.col("_text").startswith("#"))
-        .withColumn("_read", F.from_csv(F.col("_text"), wide.simpleString()[len("struct<"):-1].replace(":", " "), options))
+        .withColumn("_read", F.from_csv(F.substring_index("_text", "\t", _MOST), ddl, options))
         .withColumn("_parts", parts)
-        .select(*keep, "_read", why.alias(reason))
-        .withColumn(record, F.when(F.col(reason).isNull(), fields))
-        .drop("_read")
+        .select("_in", "_read", why.alias("_why"))
     )
+    keep = [F.col(f"_in.`{c}`").alias(c) for c in df.columns if c not in (reason, record)]
+    return read.select(*keep, F.col("_why").alias(reason), F.when(F.col("_why").isNull(), fields).alias(record))
 
 
 def failing_lines(raw: DataFrame) -> DataFrame:

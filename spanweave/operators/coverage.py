@@ -65,6 +65,7 @@ def _tile_maps(rows: DataFrame, keys: list[str]) -> DataFrame:
 
     def early(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, IntervalMap] = {}
+        types: list[pa.DataType] = []
         size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
@@ -75,9 +76,10 @@ def _tile_maps(rows: DataFrame, keys: list[str]) -> DataFrame:
                 cols[n + 1].extend(m.starts)
                 cols[n + 2].extend(m.ends)
             if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=[*keys, "tile", "s", "e"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [*types, pa.int64(), pa.int64(), pa.int64()])], names=[*keys, "tile", "s", "e"])
 
         for b in batches:
+            types[:] = b.schema.types[:n]
             for *k, s, e in zip(*[c.to_pylist() for c in b.columns]):
                 m = held.get(key := (*k, s // TILE))
                 if m is None:
@@ -94,14 +96,16 @@ def _tile_maps(rows: DataFrame, keys: list[str]) -> DataFrame:
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = None, IntervalMap()
+        types: list[pa.DataType] = []
         done: list[tuple] = []
 
         def out() -> pa.RecordBatch:
             cols = list(zip(*done))
             done.clear()
-            return pa.RecordBatch.from_arrays([*[pa.array(c) for c in cols[:-2]], *[pa.array(c, pa.list_(pa.int64())) for c in cols[-2:]]], names=[*keys, "tile", "starts", "ends"])
+            return pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(cols[:-2], [*types, pa.int64()])], *[pa.array(c, pa.list_(pa.int64())) for c in cols[-2:]]], names=[*keys, "tile", "starts", "ends"])
 
         for b in batches:  # sorted by keys and tile
+            types[:] = b.schema.types[:n]
             for *k, s, e in zip(*[c.to_pylist() for c in b.columns]):
                 if k != now:
                     if now is not None:
@@ -125,7 +129,8 @@ def stretches(df: DataFrame, keys: list[str], start: str = "start", end: str = "
     ok = F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(end) > F.col(start))
     for k in keys:
         ok = ok & F.col(k).isNotNull()
-    rows = df.where(ok).select(*keys, F.col(start).cast("bigint").alias("s"), F.col(end).cast("bigint").alias("e"))
+    given, keys = keys, [f"_key{i}" for i in range(len(keys))]
+    rows = df.where(ok).select(*[F.col(g).alias(k) for g, k in zip(given, keys)], F.col(start).cast("bigint").alias("s"), F.col(end).cast("bigint").alias("e"))
     tiles = cut(_tile_maps(rows, keys))
     order = Window.partitionBy(*keys).orderBy("tile")
     reach = tiles.select(*keys, "tile", F.element_at("ends", -1).alias("last")).select(
@@ -158,4 +163,4 @@ def stretches(df: DataFrame, keys: list[str], start: str = "start", end: str = "
         F.struct(F.lit("gap").alias("kind"), F.col("span_end").alias("span_start"), F.col("next").alias("span_end")),
     )
     outer = outer.select(*keys, F.explode(both_kinds).alias("y")).select(*keys, "y.*").where(F.col("span_end").isNotNull())
-    return inner.unionByName(outer).select("kind", *keys, "span_start", "span_end")
+    return inner.unionByName(outer).select("kind", *[F.col(k).alias(g) for g, k in zip(given, keys)], "span_start", "span_end")

@@ -9,7 +9,7 @@ Beyond that each split keeps a dictionary of its own, emptied whenever it holds
 partial results (one row per key and split at most, no hot key left) with the codes.
 
 Defined results: rows with a null key count for no key; null measures count as rows but not in extents, which are null where no row has a value;
-an empty table gives no keys; the empty string is a key; further columns are not read.
+an empty table gives no keys; the empty string is a key; keys come out as strings; further columns are not read.
 """
 
 from __future__ import annotations
@@ -88,7 +88,7 @@ def key_profile(df: DataFrame, key: str, low: str | None = None, high: str | Non
     """(key, n_rows, min_low, max_high) of each non-null key: rows, smallest ``low`` and largest ``high`` (whole numbers)."""
     spark = df.sparkSession
     none = F.lit(None).cast("bigint")
-    rows = df.select(F.col(key).alias("k"), (F.col(low).cast("bigint") if low else none).alias("lo"), (F.col(high).cast("bigint") if high else none).alias("hi"))
+    rows = df.select(F.col(key).cast("string").alias("k"), (F.col(low).cast("bigint") if low else none).alias("lo"), (F.col(high).cast("bigint") if high else none).alias("hi"))
     codes = cut(dictionary(rows, "k"))
     size = codes.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("k")), F.lit(0)).alias("b")).first()
     if size.n <= broadcast_keys and size.b <= BROADCAST_BYTES:
@@ -104,7 +104,7 @@ def key_profile(df: DataFrame, key: str, low: str | None = None, high: str | Non
                     b, at = b.filter(pc.is_valid(at)), at.drop_null()
                 code = at.to_numpy().astype(np.int64)
                 if len(values) <= BLOCK:  # one block: counts by bincount
-                    if BLOCK and 0 not in acc:
+                    if 0 not in acc:
                         acc[0] = [np.zeros(BLOCK, np.int64), np.full(BLOCK, _HIGH), np.full(BLOCK, _LOW)]
                     acc[0][0] += np.bincount(code, minlength=BLOCK)
                     if low or high:

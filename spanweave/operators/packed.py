@@ -113,6 +113,8 @@ def split_packed(df: DataFrame, key: str, fields: list[str], known: list[str] |
 
     ``known`` is a dictionary of fixed size that travels with the tasks; values beyond it are found as unknown pieces.
     """
+    if key in ("field_name", "pos", "piece"):
+        raise ValueError(f"the key may not be called {key}")
     words = block_values() if known is None else list(known)
     kind = df.schema[key].dataType
     schema = T.StructType([T.StructField(key, kind), T.StructField("field_name", T.StringType()), T.StructField("pos", T.LongType()), T.StructField("piece", T.StringType())])

@@ -77,53 +77,64 @@ def to_wide(rows: DataFrame, entity: str, attribute: str, order: str, value: str
         .withColumn("v", F.when(~whole[F.col("c")], F.col("v")).otherwise(F.when(F.col("v").rlike(r"^[+-]?[0-9]+\z"), F.expr("try_cast(v AS BIGINT)").cast("string"))))
         .where(F.col("v").isNotNull())
     )
-    arrow = {n: (pa.list_(pa.string()) if n in listed else pa.int64() if columns[n] == "bigint" else pa.string()) for n in names}
-    sql = {n: ("array<string>" if n in listed else columns[n]) for n in names}
-    schema = f"e {kind.simpleString()}, o bigint, " + ", ".join(f"`{n}` {sql[n]}" for n in names)
+    arrow = [pa.string() if n in listed or columns[n] != "bigint" else pa.int64() for n in names]
+    many = [n in listed for n in names]
+    fields = ", ".join(f"c{i} array<string>, o{i} array<bigint>" if many[i] else f"c{i} {columns[n]}, o{i} bigint" for i, n in enumerate(names))
+    schema = f"e {kind.simpleString()}, {fields}"  # of each cell the value and where it stood
+    labels = ["e", *[x for i in range(width) for x in (f"c{i}", f"o{i}")]]
+
+    def lists(values: pa.Array, offsets: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by entity and order within the split to partial wide rows; a run cut by a batch's end gives two."""
         for b in batches:
             if not len(b):
                 continue
-            e = b.column("e")
-            codes = pc.dictionary_encode(e).indices.to_numpy().astype(np.int64)
-            starts = _starts(codes)
+            e, o, v = b.column("e"), b.column("o"), b.column("v").cast(pa.string())
+            starts = _starts(pc.dictionary_encode(e).indices.to_numpy().astype(np.int64))
             group = np.zeros(len(b), np.int64)
             group[starts[1:]] = 1
             group = np.cumsum(group)
             col, at = b.column("c").to_numpy(), np.arange(len(b))
-            first = np.full((width, len(starts)), -1)
-            first[col[::-1], group[::-1]] = at[::-1]  # the earliest row of a cell is written last
-            v, out = b.column("v"), [e.take(pa.array(starts)), b.column("o").take(pa.array(starts))]
-            for i, n in enumerate(names):
-                if n in listed:
+            first = np.full(width * len(starts), len(b))
+            np.minimum.at(first, col * len(starts) + group, at)  # the earliest row of each cell
+            first = first.reshape(width, -1)
+            out = [e.take(pa.array(starts))]
+            for i in range(width):
+                if many[i]:
                     mine = at[col == i]
-                    sizes = np.bincount(group[mine], minlength=len(starts))
-                    ends = np.r_[0, np.cumsum(sizes)]
-                    out.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), v.take(pa.array(mine)).cast(pa.string())))
+                    ends = np.r_[0, np.cumsum(np.bincount(group[mine], minlength=len(starts)))]
+                    out += [lists(v.take(pa.array(mine)), ends), lists(o.take(pa.array(mine)), ends)]
                 else:
-                    out.append(v.take(pa.array(first[i], mask=first[i] < 0)).cast(arrow[n]))
-            yield pa.RecordBatch.from_arrays(out, names=["e", "o", *names])
+                    pick = pa.array(first[i], mask=first[i] == len(b))
+                    out += [v.take(pick).cast(arrow[i]), o.take(pick)]
+            yield pa.RecordBatch.from_arrays(out, names=labels)
 
     def merged(t: pa.Table) -> pa.Table:
-        """Partial rows, sorted, to one row per entity."""
+        """Partial rows sorted by entity to one row per entity."""
         t = t.combine_chunks()
         starts = _starts(pc.dictionary_encode(t.column("e").combine_chunks()).indices.to_numpy().astype(np.int64))
         if len(starts) == len(t):
             return t
-        at, far, out = np.arange(len(t)), len(t), []
-        for n in t.column_names:
-            x = t.column(n).combine_chunks()
-            if n in ("e", "o"):
-                out.append(x.take(pa.array(starts)))
-            elif n in listed:
-                offsets = x.offsets.to_numpy()
-                out.append(pa.ListArray.from_arrays(pa.array(np.r_[offsets[starts], offsets[-1]].astype(np.int32)), x.values))
+        group = np.zeros(len(t), np.int64)
+        group[starts[1:]] = 1
+        group = np.cumsum(group)
+        out = [t.column("e").combine_chunks().take(pa.array(starts))]
+        for i in range(width):
+            c, o = t.column(f"c{i}").combine_chunks(), t.column(f"o{i}").combine_chunks()
+            if many[i]:
+                values, places = c.flatten(), o.flatten().to_numpy(zero_copy_only=False)
+                owner = np.repeat(group, pc.list_value_length(c).to_numpy())
+                order = np.lexsort((places, owner))
+                ends = np.r_[0, np.cumsum(np.bincount(owner, minlength=len(starts)))]
+                out += [lists(values.take(pa.array(order)), ends), lists(pa.array(places[order]), ends)]
             else:
-                pick = np.minimum.reduceat(np.where(pc.is_valid(x).to_numpy(zero_copy_only=False), at, far), starts)
-                out.append(x.take(pa.array(pick, mask=pick == far)))
-        return pa.Table.from_arrays(out, names=t.column_names)
+                gone = pc.is_null(c).to_numpy(zero_copy_only=False)
+                order = np.lexsort((pc.fill_null(o, 0).to_numpy(zero_copy_only=False), gone, group))  # cells with a value first, the earliest ahead
+                best = order[_starts(group[order])]
+                out += [c.take(pa.array(best)), o.take(pa.array(best))]
+        return pa.Table.from_arrays(out, names=labels)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_row: pa.Table | None = None
@@ -137,8 +148,9 @@ def to_wide(rows: DataFrame, entity: str, attribute: str, order: str, value: str
             yield from open_row.combine_chunks().to_batches()
 
     partial = typed.sortWithinPartitions("e", "o").mapInArrow(build, schema)
-    wide = partial.repartition("e").sortWithinPartitions("e", "o").mapInArrow(merge, schema)
-    return wide.select(F.col("e").alias(entity), *[(F.when(F.size(n) > 0, F.array_join(n, ",")) if n in listed else F.col(n)).alias(n) for n in names])
+    wide = partial.repartition("e").sortWithinPartitions("e").mapInArrow(merge, schema)
+    cells = [F.when(F.size(f"c{i}") > 0, F.array_join(f"c{i}", ",")) if many[i] else F.col(f"c{i}") for i in range(width)]
+    return wide.select(F.col("e").alias(entity), *[c.alias(n) for c, n in zip(cells, names)])
 
 
 def gtf_wide(gtf: DataFrame) -> DataFrame:
