@@ -24,9 +24,14 @@ _C = "event_id, user_id, event_type, value"
 _add("flow_filter", f"SELECT {_C} FROM events WHERE value > 50", lambda e: flow.keep(e, F.col("value") > 50))
 _add("flow_skip_while", f"SELECT {_C} FROM events WHERE NOT coalesce(value > 50, false)", lambda e: flow.skip_while(e, F.col("value") > 50))
 _STOP = "(SELECT min(event_id) FROM events WHERE NOT coalesce(event_type <> 'purchase' OR event_id < 100, false))"
-_COND = (F.col("event_type") != "purchase") | (F.col("event_id") < 100)
-_add("flow_take_while", f"SELECT {_C} FROM events WHERE event_id < {_STOP}", lambda e: flow.take_while(e, _COND, "event_id"))
-_add("flow_drop_while", f"SELECT {_C} FROM events WHERE event_id >= {_STOP}", lambda e: flow.drop_while(e, _COND, "event_id"))
+
+
+def _cond():
+    return (F.col("event_type") != "purchase") | (F.col("event_id") < 100)
+
+
+_add("flow_take_while", f"SELECT {_C} FROM events WHERE event_id < {_STOP}", lambda e: flow.take_while(e, _cond(), "event_id"))
+_add("flow_drop_while", f"SELECT {_C} FROM events WHERE event_id >= {_STOP}", lambda e: flow.drop_while(e, _cond(), "event_id"))
 _add("flow_map", "SELECT event_id, value * 2 AS twice FROM events", lambda e: flow.mapwith(e, twice=F.col("value") * 2).select("event_id", "twice"))
 _add("flow_head", f"SELECT {_C} FROM events ORDER BY event_id LIMIT 10", lambda e: flow.head(e, "event_id"))
 _add("flow_tail", f"SELECT {_C} FROM events ORDER BY event_id DESC LIMIT 10", lambda e: flow.tail(e, "event_id"))

@@ -11,7 +11,7 @@ from spanweave.sources.text import sample_name
 
 
 def read(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    return spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "\r", "").alias("content"))
+    return spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "\r", "").alias("content"))
 
 
 def _head(n: int) -> Column:
