@@ -32,11 +32,10 @@ def _hull(region: tuple[int, int], down: int) -> tuple[Column, Column, Column, C
     return up, dn, F.least(up["start"], dn["start"]), F.greatest(up["end"], dn["end"])
 
 
-def labels(blocks: Column, f: dict[str, Column], region: tuple[int, int] = (-3000, 0), down: int = 3000, tss: bool = False, tes: bool = False, start_codon: bool = False, stop_codon: bool = False) -> Column:
-    """labels of one read (blocks) and one feature (columns type, start, end, strand, cds_start, cds_end, exons)."""
+def _conditions(blocks: Column, f: dict[str, Column], pos: Column, region: tuple[int, int], down: int, tss: bool = False, tes: bool = False, start_codon: bool = False, stop_codon: bool = False) -> Column:
+    """Labels by overlap, before introns."""
     s, e, strand, ex, cs, ce = (f[k] for k in ("start", "end", "strand", "exons", "cds_start", "cds_end"))
     up, dn = bl.tss_region(s, e, strand, *region), bl.downstream(s, e, strand, down)
-    pos = F.array_sort(F.array(up["start"], up["end"], dn["start"], dn["end"]))
     first, last = F.get(blocks, F.lit(0))["start"], F.element_at(blocks, -1)["end"]
 
     def hits(x: Column) -> Column:
@@ -61,12 +60,28 @@ def labels(blocks: Column, f: dict[str, Column], region: tuple[int, int] = (-300
         "Exon": ~coding & hits(ex),
         "Downstream": hits(F.array(dn)),
     }
-    got = F.filter(F.array(*[F.when(c, k) for k, c in conds.items()]), lambda x: x.isNotNull())
+    return F.filter(F.array(*[F.when(c, k) for k, c in conds.items()]), lambda x: x.isNotNull())
+
+
+def _positions(f: dict[str, Column], region: tuple[int, int], down: int) -> Column:
+    a = (f["start"], f["end"], f["strand"])
+    up, dn = bl.tss_region(*a, *region), bl.downstream(*a, down)
+    return F.array_sort(F.array(up["start"], up["end"], dn["start"], dn["end"]))
+
+
+def _finished(got: Column, blocks: Column, pos: Column) -> Column:
     body = F.exists(blocks, lambda b: overlaps(b["start"], b["end"], pos[1], pos[2]))
     exonic = F.arrays_overlap(got, F.array(*map(F.lit, ("5UTR", "3UTR", "CDS", "Exon"))))
     return F.when(F.size(got) == 0, F.array(F.lit("Intron"))).when(~exonic & body, F.array_append(got, F.lit("Intron"))).otherwise(got)
 
 
+def with_labels(df: DataFrame, f: dict[str, Column], region: tuple[int, int] = (-3000, 0), down: int = 3000, name: str = "labels", **flags: bool) -> DataFrame:
+    """``labels`` of each row's read (``blocks``) and feature (columns type, start, end, strand, cds_start, cds_end, exons). Steps are columns of their own, so that none is computed twice."""
+    df = df.withColumn("_pos", _positions(f, region, down))
+    df = df.withColumn("_got", _conditions(F.col("blocks"), f, F.col("_pos"), region, down, **flags))
+    return df.withColumn(name, _finished(F.col("_got"), F.col("blocks"), F.col("_pos"))).drop("_pos", "_got")
+
+
 def tier(x: Column, priority: tuple[str, ...] = PRIORITY) -> Column:
     """1 within a feature and not Intron, 2 flank with exon or point label, 3 Intron alone, 4 flank with Intron, 5 others."""
     flank = F.arrays_overlap(x, F.array(*map(F.lit, _FLANKS)))
@@ -84,11 +99,11 @@ def annotate_hits(reads: DataFrame, features: DataFrame, stranded: bool = False,
     _, _, lo, hi = _hull(region, down)
     feats = features.select("*", F.struct("start", "end").alias("place")).withColumns({"_lo": lo, "_hi": hi}).drop("start", "end").withColumnsRenamed({"_lo": "start", "_hi": "end"})
     keys = ["chrom", "strand"] if stranded else ["chrom"]
-    hits = overlap_join(reads.select("id", "chrom", "start", "end", "strand", "blocks"), feats, keys, "left")
+    hits = overlap_join(reads.select("id", "chrom", "start", "end", "strand", "blocks"), feats, keys, "left", ident="id")
     f = {k: F.col(k + "_b") for k in ("type", "strand", "cds_start", "cds_end", "exons")} | {"start": F.col("place_b.start"), "end": F.col("place_b.end")}
-    got = F.when(F.col("id_b").isNotNull(), labels(F.col("blocks"), f, region, down, **flags))
-    out = hits.withColumn("labels", got)
-    return out.withColumn("tier", tier(F.col("labels"))).select("id", "chrom", "start", "end", "strand", F.col("id_b").alias("feature_id"), F.col("name_b").alias("name"), F.col("type_b").alias("type"), F.col("strand_b").alias("feature_strand"), F.col("place_b.start").alias("feature_start"), F.col("place_b.end").alias("feature_end"), "labels", "tier")
+    found = F.col("id_b").isNotNull()
+    out = with_labels(hits, f, region, down, **flags).withColumn("labels", F.when(found, F.col("labels")))
+    return out.withColumn("tier", F.when(found, tier(F.col("labels")))).select("id", "chrom", "start", "end", "strand", F.col("id_b").alias("feature_id"), F.col("name_b").alias("name"), F.col("type_b").alias("type"), F.col("strand_b").alias("feature_strand"), F.col("place_b.start").alias("feature_start"), F.col("place_b.end").alias("feature_end"), "labels", "tier")
 
 
 def annotate(reads: DataFrame, features: DataFrame, stranded: bool = False, region: tuple[int, int] = (-3000, 0), down: int = 3000, upstream_name: str = "Upstream", downstream_name: str = "Downstream", priority: tuple[str, ...] = PRIORITY, **flags: bool) -> DataFrame:

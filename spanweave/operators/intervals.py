@@ -15,8 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: log2 of the finest bin, of the step between levels, and the number of levels (the last one holds any 64-bit length).
-FINEST, STEP, LEVELS = 14, 4, 13
+#: log2 of the bins' width, level by level; intervals wider than the last but one meet in one bin of their key.
+SHIFTS = (14, 18, 22, 26, 30, 62)
 TILE_BITS = 20
 
 
@@ -35,32 +35,28 @@ def is_match(a: tuple[Column, ...], b: tuple[Column, ...], shift: int = 2) -> Co
     return (a[0] == b[0]) & a[3].eqNullSafe(b[3]) & (F.abs(a[1] - b[1]) <= shift) & (F.abs(a[2] - b[2]) <= shift)
 
 
-def _shift(level: Column) -> Column:
-    return F.lit(FINEST) + F.lit(STEP) * level
-
-
 def _bin(x: Column, level: Column) -> Column:
-    return F.call_function("shiftright", x, _shift(level).cast("int"))
+    return F.call_function("shiftright", x, F.get(F.array(*map(F.lit, SHIFTS)), level))
 
 
 def _level(start: Column, end: Column) -> Column:
-    out = F.lit(LEVELS - 1)
-    for k in range(LEVELS - 2, -1, -1):
-        out = F.when(end - start <= 1 << (FINEST + STEP * k), k).otherwise(out)
+    out = F.lit(len(SHIFTS) - 1)
+    for k in range(len(SHIFTS) - 2, -1, -1):
+        out = F.when(end - start <= 1 << SHIFTS[k], k).otherwise(out)
     return out
 
 
-def overlap_join(probe: DataFrame, build: DataFrame, keys: list[str], how: str = "inner", start: str = "start", end: str = "end", suffix: str = "_b") -> DataFrame:
-    """Each pair of rows with equal keys and overlapping intervals; columns of ``build`` get ``suffix``. ``left`` keeps every probe row."""
+def overlap_join(probe: DataFrame, build: DataFrame, keys: list[str], how: str = "inner", start: str = "start", end: str = "end", suffix: str = "_b", ident: str | None = None) -> DataFrame:
+    """Each pair of rows with equal keys and overlapping intervals; columns of ``build`` get ``suffix``. ``left`` keeps every probe row;
+    it finds the rows without a partner by the unique column ``ident``, or by all columns (equal rows have equal partners)."""
     b = build.select(*[F.col(c).alias(c + suffix) for c in build.columns])
     bs, be = start + suffix, end + suffix
     ok = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in [*(k + suffix for k in keys), bs, be]])
     b = b.where(ok & (F.col(be) >= F.col(bs))).withColumn("_level", _level(F.col(bs), F.col(be)))
     b = b.withColumn("_bin", F.explode(F.sequence(_bin(F.col(bs), F.col("_level")), _bin(F.greatest(F.col(be) - 1, F.col(bs)), F.col("_level")))))
-    used = probe.withColumn("_probe", F.monotonically_increasing_id()) if how == "left" else probe
     ok = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in [*keys, start, end]])
-    levels = F.array(*[F.lit(k) for k in range(LEVELS)])
-    a = used.where(ok & (F.col(end) >= F.col(start))).withColumn("_level", F.explode(levels))
+    levels = F.array(*[F.lit(k) for k in range(len(SHIFTS))])
+    a = probe.where(ok & (F.col(end) >= F.col(start))).withColumn("_level", F.explode(levels))
     a = a.withColumn("_bin", F.explode(F.sequence(_bin(F.col(start), F.col("_level")), _bin(F.greatest(F.col(end) - 1, F.col(start)), F.col("_level")))))
     on = [F.col(k) == F.col(k + suffix) for k in keys]
     b = b.withColumnsRenamed({"_level": "_level_b", "_bin": "_bin_b"})
@@ -69,22 +65,27 @@ def overlap_join(probe: DataFrame, build: DataFrame, keys: list[str], how: str =
     pairs = a.join(b, reduce(lambda x, y: x & y, on)).drop("_level", "_bin", "_level_b", "_bin_b")
     if how == "inner":
         return pairs
-    none = used.join(pairs.select("_probe").distinct(), "_probe", "left_anti")
-    return pairs.unionByName(none, allowMissingColumns=True).drop("_probe")
+    if ident is not None:
+        partners = pairs.select(F.col(ident).alias("_ident"), *[c for c in pairs.columns if c not in probe.columns])
+        return probe.join(partners, F.col(ident) == F.col("_ident"), "left").drop("_ident")
+    same = [f"_same{i}" for i in range(len(probe.columns))]
+    met = pairs.select(*[F.col(c).alias(s) for c, s in zip(probe.columns, same)]).distinct()
+    none = probe.join(met, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(s)) for c, s in zip(probe.columns, same)]), "left_anti")
+    return pairs.unionByName(none, allowMissingColumns=True)
 
 
 def overlap_bases(start: Column, end: Column, b_start: Column, b_end: Column) -> Column:
     return F.greatest(F.least(end, b_end) - F.greatest(start, b_start), F.lit(0))
 
 
-def nearest(points: DataFrame, features: DataFrame, keys: list[str], point: str, side: str, order: list[str], n: int = 1, max_dist: int = 2500, start: str = "start", end: str = "end", suffix: str = "_b") -> DataFrame:
+def nearest(points: DataFrame, features: DataFrame, keys: list[str], point: str, side: str, order: list[str], n: int = 1, max_dist: int = 2500, start: str = "start", end: str = "end", suffix: str = "_b", ident: str | None = None) -> DataFrame:
     """The ``n`` features that end 1 to ``max_dist`` before ``point`` (side ``before``), or start as far after it; ``_rank`` from 1.
 
-    ``order`` names columns of the features that break ties of distance; the points need a unique column set, which is all their columns.
+    ``order`` names columns of the features that break ties of distance; ``ident`` is a unique column of the points, without it rows are numbered as they are read.
     """
     f = features.select(*[F.col(c).alias(c + suffix) for c in features.columns]).withColumn("_at", F.col((end if side == "before" else start) + suffix))
     bits = max(1, (max_dist - 1).bit_length())
-    p = points.withColumn("_row", F.monotonically_increasing_id())
+    p = points.withColumn("_row", F.col(ident) if ident else F.monotonically_increasing_id())
     lo, hi = (F.col(point) - max_dist, F.col(point) - 1) if side == "before" else (F.col(point) + 1, F.col(point) + max_dist)
     p = p.where(F.col(point).isNotNull()).withColumn("_bin", F.explode(F.sequence(F.shiftright(lo, bits), F.shiftright(hi, bits))))
     f = f.withColumn("_bin_b", F.shiftright("_at", bits))
@@ -95,14 +96,14 @@ def nearest(points: DataFrame, features: DataFrame, keys: list[str], point: str,
     return pairs.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_row", "_bin", "_bin_b", "_at")
 
 
-def nearest_interval(queries: DataFrame, features: DataFrame, keys: list[str], side: str, order: list[str], n: int = 1, max_dist: int = 2500, stranded: bool = False) -> DataFrame:
+def nearest_interval(queries: DataFrame, features: DataFrame, keys: list[str], side: str, order: list[str], n: int = 1, max_dist: int = 2500, stranded: bool = False, ident: str | None = None) -> DataFrame:
     """Neighbours of intervals; ``stranded``: upstream (``before``) and downstream (``after``) as the strand of the query has it."""
     if not stranded:
         at = "start" if side == "before" else "end"
-        return nearest(queries.withColumn("_point", F.col(at)), features, keys, "_point", side, order, n, max_dist).drop("_point")
+        return nearest(queries.withColumn("_point", F.col(at)), features, keys, "_point", side, order, n, max_dist, ident=ident).drop("_point")
     other = "after" if side == "before" else "before"
     minus = F.coalesce(F.col("strand") == "-", F.lit(False))
-    return nearest_interval(queries.where(~minus), features, keys, side, order, n, max_dist).unionByName(nearest_interval(queries.where(minus), features, keys, other, order, n, max_dist))
+    return nearest_interval(queries.where(~minus), features, keys, side, order, n, max_dist, ident=ident).unionByName(nearest_interval(queries.where(minus), features, keys, other, order, n, max_dist, ident=ident))
 
 
 def sweep(sides: list[DataFrame], keys: list[str], start: str = "start", end: str = "end") -> DataFrame:

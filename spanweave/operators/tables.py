@@ -117,9 +117,9 @@ def name_filter(df: DataFrame, column: str, names: DataFrame, mode: str = "isin"
         return df.join(n, F.col(column) == F.col("_name"), how)
     if mode == "contains":
         return df.join(n, F.contains(F.col(column), F.col("_name")), how)
-    keyed = df.withColumn("_row", F.monotonically_increasing_id())
-    pieces = keyed.select("_row", F.explode(F.split(column, "\\Q" + (delimiter or ",") + "\\E")).alias("_p")).join(n, F.col("_p") == F.col("_name"), "left_semi").select("_row").distinct()
-    return keyed.join(pieces, "_row", how).drop("_row")
+    texts = df.select(F.col(column).alias("_text")).where("_text IS NOT NULL").distinct()
+    met = texts.select("_text", F.explode(F.split("_text", "\\Q" + (delimiter or ",") + "\\E")).alias("_p")).join(n, F.col("_p") == F.col("_name"), "left_semi").select("_text").distinct()
+    return df.join(met, F.col(column) == F.col("_text"), how)
 
 
 def stack_tables(tables: list[DataFrame]) -> DataFrame:

@@ -435,6 +435,29 @@ def containment(spark: SparkSession, d: str) -> DataFrame:
     return rd.containment(g, g, 4).where("id_a <> id_b").select("id_a", "id_b")
 
 
+_NAMED = "WITH g AS (SELECT DISTINCT lower(gene_name) AS s FROM trans_info WHERE gene_name IS NOT NULL AND gene_name <> ''), p AS (SELECT a.s AS id_a, b.s AS id_b, instr(a.s, b.s) - 1 AS l, length(a.s) - length(b.s) - instr(a.s, b.s) + 1 AS r FROM g a, g b WHERE contains(a.s, b.s) AND a.s <> b.s)"
+
+
+def _contained(spark: SparkSession, d: str) -> DataFrame:
+    g = load(spark, d, "trans_info").where("gene_name IS NOT NULL").select(F.lower("gene_name").alias("id")).distinct().withColumn("sequence", F.col("id"))
+    return rd.containment(g, g, 4).where("id_a <> id_b")
+
+
+@R.add("isoforms", f"{_NAMED} SELECT id_a, id_b, CASE WHEN l > 0 AND r > 0 THEN '53' WHEN l > 0 THEN '5' WHEN r > 0 THEN '3' ELSE 'same' END AS kind, CASE WHEN l > 0 AND r > 0 THEN 'LR' WHEN l > 0 THEN 'L' WHEN r > 0 THEN 'R' ELSE '' END AS extra FROM p")
+def isoforms(spark: SparkSession, d: str) -> DataFrame:
+    return rd.isoforms(_contained(spark, d)).select("id_a", "id_b", "kind", "extra")
+
+
+@R.add("containment_collapse", f"{_NAMED}, t AS (SELECT DISTINCT id_a FROM p WHERE id_a NOT IN (SELECT id_b FROM p)), d AS (SELECT t.id_a, id_b FROM t JOIN p ON t.id_a = p.id_a), e AS (SELECT id_a, id_b FROM d UNION SELECT d.id_a, p.id_b FROM d JOIN p ON d.id_b = p.id_a) SELECT id_a, list_sort(list(id_b)) AS parts FROM e GROUP BY id_a")
+def containment_collapse(spark: SparkSession, d: str) -> DataFrame:
+    return rd.collapse_containment(_contained(spark, d))
+
+
+@R.add("reverse_records", f"SELECT doc_id, reverse(translate(replace({_CLEAN}, 'Z', ''), 'ACGTNWSKMYRHBVD', 'TGCANWSMKRYDVBH')) AS sequence, reverse(text) AS quality FROM documents")
+def reverse_records(spark: SparkSession, d: str) -> DataFrame:
+    return rd.reverse_records(_seq(spark, d).select("doc_id", F.replace(sq.to_dna(F.col("t")), F.lit("Z"), F.lit("")).alias("sequence"), F.col("t").alias("quality")))
+
+
 @R.add("merge_subsequences")
 def merge_subsequences(spark: SparkSession, d: str) -> DataFrame:
     g = load(spark, d, "trans_info").where("gene_name IS NOT NULL").select(F.col("gene_name").alias("id"), F.col("gene_name").alias("sequence")).distinct()

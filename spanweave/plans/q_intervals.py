@@ -57,12 +57,12 @@ def _near_out(df: DataFrame) -> DataFrame:
 
 @R.add("nearest_before", _near("a.start - b.e BETWEEN 1 AND 2500", "a.start - b.e"))
 def nearest_before(spark: SparkSession, d: str) -> DataFrame:
-    return _near_out(I.nearest_interval(bed(spark, d).where("end IS NOT NULL"), transcripts(spark, d), ["chrom"], "before", ["record_id"], 2))
+    return _near_out(I.nearest_interval(bed(spark, d).where("end IS NOT NULL"), transcripts(spark, d), ["chrom"], "before", ["record_id"], 2, ident="interval_id"))
 
 
 @R.add("nearest_after", _near("b.start - a.e BETWEEN 1 AND 2500", "b.start - a.e"))
 def nearest_after(spark: SparkSession, d: str) -> DataFrame:
-    return _near_out(I.nearest_interval(bed(spark, d).where("start IS NOT NULL"), transcripts(spark, d), ["chrom"], "after", ["record_id"], 2))
+    return _near_out(I.nearest_interval(bed(spark, d).where("start IS NOT NULL"), transcripts(spark, d), ["chrom"], "after", ["record_id"], 2, ident="interval_id"))
 
 
 _UP = "CASE WHEN a.strand = '-' THEN b.start - a.e ELSE a.start - b.e END"
@@ -71,12 +71,12 @@ _DOWN = "CASE WHEN a.strand = '-' THEN a.start - b.e ELSE b.start - a.e END"
 
 @R.add("upstream_of", _near(f"{_UP} BETWEEN 1 AND 2500", _UP))
 def upstream_of(spark: SparkSession, d: str) -> DataFrame:
-    return _near_out(I.nearest_interval(bed(spark, d).where("start IS NOT NULL AND end IS NOT NULL"), transcripts(spark, d), ["chrom"], "before", ["record_id"], 2, stranded=True))
+    return _near_out(I.nearest_interval(bed(spark, d).where("start IS NOT NULL AND end IS NOT NULL"), transcripts(spark, d), ["chrom"], "before", ["record_id"], 2, stranded=True, ident="interval_id"))
 
 
 @R.add("downstream_of", _near(f"{_DOWN} BETWEEN 1 AND 2500", _DOWN))
 def downstream_of(spark: SparkSession, d: str) -> DataFrame:
-    return _near_out(I.nearest_interval(bed(spark, d).where("start IS NOT NULL AND end IS NOT NULL"), transcripts(spark, d), ["chrom"], "after", ["record_id"], 2, stranded=True))
+    return _near_out(I.nearest_interval(bed(spark, d).where("start IS NOT NULL AND end IS NOT NULL"), transcripts(spark, d), ["chrom"], "after", ["record_id"], 2, stranded=True, ident="interval_id"))
 
 
 @R.add("interval_match", f"WITH {_A}, {_B} SELECT a.interval_id, c.interval_id AS other_id FROM a JOIN a c ON a.chrom = c.chrom AND a.strand = c.strand AND abs(a.start - c.start) <= 2 AND abs(a.e - c.e) <= 2 AND a.interval_id < c.interval_id AND a.e > c.start AND a.start < c.e")

@@ -65,8 +65,7 @@ def covered(rows, c):
 @pytest.mark.parametrize("seed", range(2))
 def test_brute_force(make, seed, monkeypatch):
     monkeypatch.setattr(I, "TILE_BITS", 4)
-    monkeypatch.setattr(I, "FINEST", 3)
-    monkeypatch.setattr(I, "STEP", 1)
+    monkeypatch.setattr(I, "SHIFTS", (2, 3, 5, 62))
     rng = random.Random(seed)
 
     def rows(n):
