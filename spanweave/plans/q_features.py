@@ -453,9 +453,9 @@ def containment_collapse(spark: SparkSession, d: str) -> DataFrame:
     return rd.collapse_containment(_contained(spark, d))
 
 
-@R.add("reverse_records", f"SELECT doc_id, reverse(translate(replace({_CLEAN}, 'Z', ''), 'ACGTNWSKMYRHBVD', 'TGCANWSMKRYDVBH')) AS sequence, reverse(text) AS quality FROM documents")
+@R.add("reverse_records", f"SELECT doc_id, reverse(translate(replace({_CLEAN}, 'Z', ''), 'ACGTNWSKMYRHBVD', 'TGCANWSMKRYDVBH')) AS sequence, reverse({_CLEAN}) AS quality FROM documents")
 def reverse_records(spark: SparkSession, d: str) -> DataFrame:
-    return rd.reverse_records(_seq(spark, d).select("doc_id", F.replace(sq.to_dna(F.col("t")), F.lit("Z"), F.lit("")).alias("sequence"), F.col("t").alias("quality")))
+    return rd.reverse_records(_seq(spark, d).select("doc_id", F.replace(sq.to_dna(F.col("t")), F.lit("Z"), F.lit("")).alias("sequence"), sq.to_dna(F.col("t")).alias("quality")))
 
 
 @R.add("merge_subsequences")
