@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanweave.runtime import cut
+from spanweave.runtime import attach, cut
 
 
 def _true(cond: Column) -> Column:
@@ -40,12 +40,12 @@ def _first_false(df: DataFrame, cond: Column, order: str) -> DataFrame:
 
 def take_while(df: DataFrame, cond: Column, order: str) -> DataFrame:
     """D3: the rows before the first that fails ``cond`` (null fails)."""
-    return df.crossJoin(F.broadcast(_first_false(df, cond, order))).where(F.col("_stop").isNull() | (F.col(order) < F.col("_stop"))).drop("_stop")
+    return df.transform(attach, _first_false(df, cond, order)).where(F.col("_stop").isNull() | (F.col(order) < F.col("_stop"))).drop("_stop")
 
 
 def drop_while(df: DataFrame, cond: Column, order: str) -> DataFrame:
     """The rows from the first that fails ``cond``."""
-    return df.crossJoin(F.broadcast(_first_false(df, cond, order))).where(F.col(order) >= F.col("_stop")).drop("_stop")
+    return df.transform(attach, _first_false(df, cond, order)).where(F.col(order) >= F.col("_stop")).drop("_stop")
 
 
 def mapwith(df: DataFrame, **columns: Column) -> DataFrame:
@@ -83,7 +83,7 @@ def concat(a: DataFrame, b: DataFrame, order: str | None = None) -> DataFrame:
         return a.unionByName(b)
     top = a.agg((F.coalesce(F.max(order), F.lit(-1)) + 1).alias("_top"))
     low = b.agg(F.coalesce(F.min(order), F.lit(0)).alias("_low"))
-    moved = b.crossJoin(F.broadcast(top)).crossJoin(F.broadcast(low)).withColumn(order, F.col(order) - F.col("_low") + F.col("_top")).drop("_top", "_low")
+    moved = b.transform(attach, top).transform(attach, low).withColumn(order, F.col(order) - F.col("_low") + F.col("_top")).drop("_top", "_low")
     return a.unionByName(moved)
 
 
@@ -116,7 +116,7 @@ def tail(df: DataFrame, order: str, n: int = 10) -> DataFrame:
 def skip(df: DataFrame, order: str, n: int) -> DataFrame:
     """All but the first n."""
     last = df.select(order).orderBy(order).limit(n).agg(F.max(order).alias("_last"), F.count("*").alias("_c"))
-    return df.crossJoin(F.broadcast(last)).where((F.col("_c") == 0) | (F.col(order) > F.col("_last"))).drop("_last", "_c") if n > 0 else df
+    return df.transform(attach, last).where((F.col("_c") == 0) | (F.col(order) > F.col("_last"))).drop("_last", "_c") if n > 0 else df
 
 
 def dedup(df: DataFrame, key: list[str], order: str) -> DataFrame:
@@ -215,7 +215,7 @@ def reverse(df: DataFrame, order: str) -> DataFrame:
 def transpose(df: DataFrame, column: str, order: str) -> DataFrame:
     """(pos, values): the n-th elements of every row's array, down to the shortest."""
     short = df.agg(F.min(F.size(column)).alias("_min"))
-    cells = df.select(order, F.posexplode(column).alias("pos", "v")).crossJoin(F.broadcast(short)).where("pos < _min")
+    cells = df.select(order, F.posexplode(column).alias("pos", "v")).transform(attach, short).where("pos < _min")
     return cells.groupBy("pos").agg(_in_order(order, "v").alias("values"))
 
 
@@ -226,7 +226,7 @@ def window(df: DataFrame, value: str, order: str, size: int = 2, step: int = 1)
     total = n.agg(F.count("*").alias("_c"))
     full = F.when(F.col("_c") >= size, F.expr(f"(_c - {size}) div {step}") + 1).otherwise(0)
     ahead = F.explode(F.sequence(F.greatest(F.expr(f"-((-(_n - {size - 1})) div {step})"), F.lit(0)), F.expr(f"_n div {step}")))
-    rows = n.crossJoin(F.broadcast(total)).withColumn("_full", full).withColumn("_w", ahead)
+    rows = n.transform(attach, total).withColumn("_full", full).withColumn("_w", ahead)
     rows = rows.where((F.col("_n") >= F.col("_w") * step) & (F.col("_n") < F.col("_w") * step + size) & (F.col("_w") <= F.col("_full")))
     out = rows.groupBy("_w", "_full", "_c").agg(_in_order("_n", value).alias("values"))
     seen = F.when(F.col("_full") > 0, (F.col("_full") - 1) * step + size).otherwise(0)

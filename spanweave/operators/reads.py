@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from spanweave.functions import blocks as bl
 from spanweave.functions.sequence import reverse_complement
 from spanweave.operators.intervals import overlap_join
+from spanweave.runtime import attach
 
 #: Bits of the alignment flag.
 PAIRED, UNMAPPED, REVERSE, READ1, READ2, SECONDARY, QC_FAIL, DUPLICATE, SUPPLEMENTARY = 0x1, 0x4, 0x10, 0x40, 0x80, 0x100, 0x200, 0x400, 0x800
@@ -119,7 +120,7 @@ def dedup_sequences(df: DataFrame, by: list[str], order: str = "_pos", min_lengt
 def dedup_summary(before: DataFrame, after: DataFrame) -> DataFrame:
     """A10: records in and out, and the share dropped."""
     a, b = before.agg(F.count("*").alias("n_in")), after.agg(F.count("*").alias("n_out"))
-    return a.crossJoin(b).withColumn("dropped", (F.col("n_in") - F.col("n_out")) / F.col("n_in"))
+    return a.transform(attach, b).withColumn("dropped", (F.col("n_in") - F.col("n_out")) / F.col("n_in"))
 
 
 def rename_duplicates(df: DataFrame, name: str, order: str = "_pos", block: int = 4096) -> DataFrame:
@@ -221,7 +222,7 @@ def random_regions(spark_df: DataFrame, n: int, length: int = 50, seed: int = 0,
 
     chroms = spark_df.where(F.col(size) > length).select(F.col(name).alias("chrom"), F.col(size).alias("_size"), (F.row_number().over(Window.orderBy(name)) - 1).alias("_i"))
     total = chroms.agg(F.count("*").alias("_c"))
-    rows = spark.range(n).withColumn("_u", F.rand(seed)).withColumn("_v", F.rand(seed + 1)).withColumn("_w", F.rand(seed + 2)).crossJoin(F.broadcast(total))
+    rows = spark.range(n).withColumn("_u", F.rand(seed)).withColumn("_v", F.rand(seed + 1)).withColumn("_w", F.rand(seed + 2)).transform(attach, total)
     rows = rows.withColumn("_i", F.floor(F.col("_u") * F.col("_c")).cast("int")).join(F.broadcast(chroms), "_i")
     start = F.floor(F.col("_v") * (F.col("_size") - length))
     return rows.select("id", "chrom", start.alias("start"), (start + length).alias("end"), F.when(F.col("_w") < 0.5, "+").otherwise("-").alias("strand"))

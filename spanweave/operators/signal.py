@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanweave.operators.intervals import overlap_join
+from spanweave.runtime import attach
 
 
 def _parts(regions: DataFrame, track: DataFrame) -> DataFrame:
@@ -90,7 +91,7 @@ def _profile(loci: DataFrame, track: DataFrame, got: DataFrame, n: int) -> DataF
     total = loci.agg(F.count("*").alias("_c"))
     sums = got.join(loci.select("id", "strand"), "id").withColumn("bin", _flipped(got, n)).groupBy("sample", "bin").agg(F.sum("value").alias("value"))
     bins = track.select("sample").distinct().select("sample", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("bin"))
-    out = bins.join(sums, ["sample", "bin"], "left").crossJoin(F.broadcast(total))
+    out = bins.join(sums, ["sample", "bin"], "left").transform(attach, total)
     return out.select("sample", "bin", (F.coalesce("value", F.lit(0.0)) / F.col("_c")).alias("value"))
 
 

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanweave.runtime import attach
+
 
 def _numeric(df: DataFrame, c: str) -> bool:
     return isinstance(df.schema[c].dataType, T.NumericType)
@@ -59,7 +61,7 @@ def non_numeric(c: str) -> Column:
 
 def _scaled(df: DataFrame, samples: list[str], x: dict[str, Column], factor: float, total: dict[str, Column]) -> DataFrame:
     sums = df.agg(*[F.sum(total[s]).alias("_sum_" + s) for s in samples])  # one row
-    return df.crossJoin(F.broadcast(sums)).withColumns({s: x[s] * factor / F.col("_sum_" + s) for s in samples}).drop(*["_sum_" + s for s in samples])
+    return df.transform(attach, sums).withColumns({s: x[s] * factor / F.col("_sum_" + s) for s in samples}).drop(*["_sum_" + s for s in samples])
 
 
 def _complete(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -178,9 +180,9 @@ def trimmed(df: DataFrame, value: str, whisker: float = 1.5) -> DataFrame:
     """Values strictly between the whiskers of a box plot (quartiles by linear interpolation; the whiskers end at the furthest value within 1.5 ranges)."""
     q = df.agg(F.percentile(value, 0.25).alias("_q1"), F.percentile(value, 0.75).alias("_q3"))
     inside = F.col(value).between(F.col("_q1") - whisker * (F.col("_q3") - F.col("_q1")), F.col("_q3") + whisker * (F.col("_q3") - F.col("_q1")))
-    with_q = df.crossJoin(F.broadcast(q)).where(inside)
+    with_q = df.transform(attach, q).where(inside)
     ends = with_q.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    return with_q.crossJoin(F.broadcast(ends)).where((F.col(value) > F.col("_lo")) & (F.col(value) < F.col("_hi"))).drop("_q1", "_q3", "_lo", "_hi")
+    return with_q.transform(attach, ends).where((F.col(value) > F.col("_lo")) & (F.col(value) < F.col("_hi"))).drop("_q1", "_q3", "_lo", "_hi")
 
 
 def weights(df: DataFrame, size: str, n: str, by: list[str]) -> DataFrame:
@@ -213,7 +215,7 @@ def ranked(df: DataFrame, value: str, ties: str, n: int = 5) -> DataFrame:
 
     placed = numbered(df.withColumn("_o", F.struct(value, ties)), "_o").withColumn("rank", F.col("_n") + 1)
     total = df.agg(F.count("*").alias("_c"))
-    return placed.crossJoin(F.broadcast(total)).where((F.col("rank") <= n) | (F.col("rank") > F.col("_c") - n)).drop("_o", "_n", "_c")
+    return placed.transform(attach, total).where((F.col("rank") <= n) | (F.col("rank") > F.col("_c") - n)).drop("_o", "_n", "_c")
 
 
 def top_labels(df: DataFrame, by: Column, ok: Column, n: int, selected: Iterable[str], name: str) -> DataFrame:
@@ -289,7 +291,7 @@ def compare_matrix(df: DataFrame, key: str, a: list[str], b: list[str]) -> DataF
         return reduce(lambda x, y: x + y, [F.col(s) for s in some]) / len(some)
 
     pseudo = df.agg((F.avg((mean(a) + mean(b)) / 2) * 0.01).alias("_pseudo"))
-    out = df.crossJoin(F.broadcast(pseudo)).withColumn("diff", mean(b) - mean(a)).withColumn("fc", (mean(b) + F.col("_pseudo")) / (mean(a) + F.col("_pseudo"))).drop("_pseudo")
+    out = df.transform(attach, pseudo).withColumn("diff", mean(b) - mean(a)).withColumn("fc", (mean(b) + F.col("_pseudo")) / (mean(a) + F.col("_pseudo"))).drop("_pseudo")
     if len(a) < 2 or len(b) < 2:
         return out
 

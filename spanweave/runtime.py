@@ -33,5 +33,6 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def splits(df: DataFrame) -> int:
-    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """The columns of an aggregate of one row beside every row, as scalar subqueries."""
+    return df.withColumns({c: one_row.select(c).scalar() for c in one_row.columns})
