@@ -132,6 +132,6 @@ def protein_coding(kind: Column) -> Column:
 
 
 def bed12_blocks(start: Column, sizes: Column, starts: Column) -> Column:
-    """Absolute blocks, ascending, of comma lists."""
-    numbers = [F.transform(F.filter(F.split(c, ","), lambda x: F.trim(x) != ""), lambda x: F.trim(x).cast("bigint")) for c in (starts, sizes)]
+    """Absolute blocks, ascending, of comma lists; pieces that are no whole numbers give null bounds (problem 2 takes such fields apart)."""
+    numbers = [F.transform(F.filter(F.split(c, ","), lambda x: F.trim(x) != ""), lambda x: F.trim(x).try_cast("bigint")) for c in (starts, sizes)]
     return F.array_sort(F.transform(F.arrays_zip(numbers[0].alias("s"), numbers[1].alias("n")), lambda x: block(start + x["s"], start + x["s"] + x["n"])))

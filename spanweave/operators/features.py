@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spanweave.functions import blocks as bl
 from spanweave.operators.intervals import merge, overlap_join, sweep
+from spanweave.runtime import cut
 
 _NAMES = ["gene_id", "gene_name", "transcript_name", "gene_type", "transcript_type"]
 
@@ -69,6 +70,7 @@ def loci(tx: DataFrame, stranded: bool = True, drop_types: list[str] | None = No
     if drop_types:
         tx = tx.where(~F.coalesce(F.col("gene_type").isin(drop_types), F.lit(False)))
     keys = ["chrom", "strand"] if stranded else ["chrom"]
+    tx = cut(tx)  # read by the sweep and by the join
     runs = merge(tx, keys).select(*keys, "start", "end")
     hits = overlap_join(tx, runs, keys)
 

@@ -130,7 +130,7 @@ def stack_tables(tables: list[DataFrame]) -> DataFrame:
 
 
 def _mean_of_list(c: str) -> Column:
-    x = F.transform(F.split(c, ","), lambda v: v.cast("double"))
+    x = F.transform(F.split(c, ","), lambda v: v.try_cast("double"))
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.size(x)
 
 
@@ -198,7 +198,7 @@ def grouped_mean(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 def percent(text: Column) -> Column:
     """A26: "12.5%" as 12.5."""
-    return F.regexp_replace(text, "%", "").cast("double")
+    return F.regexp_replace(text, "%", "").try_cast("double")
 
 
 def diff_labels(df: DataFrame, lfc: str, padj: str, least_lfc: float = 1.0, most_padj: float = 0.05) -> DataFrame:

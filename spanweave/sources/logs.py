@@ -33,7 +33,7 @@ def _word(i: int) -> Column:
 
 
 def _total(*lines: int) -> Column:
-    return reduce(lambda a, b: a + b, [_word(i).cast("bigint") for i in lines]).cast("string")
+    return reduce(lambda a, b: a + b, [_word(i).try_cast("bigint") for i in lines]).cast("string")
 
 
 def cutadapt(df: DataFrame) -> DataFrame:
@@ -67,22 +67,22 @@ def star(df: DataFrame) -> DataFrame:
 
     uniq, multi = value("Uniquely mapped reads number"), value("Number of reads mapped to multiple loci")
     ur, mr = value("Uniquely mapped reads %"), value("% of reads mapped to multiple loci")
-    rate = F.format_string("%.2f%%", F.replace(ur, F.lit("%"), F.lit("")).cast("double") + F.replace(mr, F.lit("%"), F.lit("")).cast("double"))
+    rate = F.format_string("%.2f%%", F.replace(ur, F.lit("%"), F.lit("")).try_cast("double") + F.replace(mr, F.lit("%"), F.lit("")).try_cast("double"))
     return _rows(df, {
         "input_read_pairs": value("Number of input reads"), "unique_mapped": uniq, "unique_rate": ur, "multiple_mapped": multi, "multiple_rate": mr,
-        "mapped_read_pairs": (uniq.cast("bigint") + multi.cast("bigint")).cast("string"), "alignment_rate": rate,
+        "mapped_read_pairs": (uniq.try_cast("bigint") + multi.try_cast("bigint")).cast("string"), "alignment_rate": rate,
     })
 
 
 def picard_duplicates(df: DataFrame) -> DataFrame:
     line = F.get(F.filter(F.slice(_lines(), 1, 10), lambda x: x.startswith("Unknown Library")), F.lit(0))
     words = F.split(line, r"\s+")
-    return _rows(df, {"duplication_rate": F.format_string("%.2f%%", F.element_at(words, -2).cast("double") * 100), "estimated_librarysize": F.element_at(words, -1)})
+    return _rows(df, {"duplication_rate": F.format_string("%.2f%%", F.element_at(words, -2).try_cast("double") * 100), "estimated_librarysize": F.element_at(words, -1)})
 
 
 def flagstat(df: DataFrame) -> DataFrame:
     n = _get(F.col("content"), r"(?m)^(\d+)[^\n]*properly paired")
-    return _rows(df, {"filtered_read_pairs": F.floor(n.cast("bigint") / 2)}).withColumn("filtered_read_pairs", F.col("filtered_read_pairs").cast("string"))
+    return _rows(df, {"filtered_read_pairs": F.floor(n.try_cast("bigint") / 2)}).withColumn("filtered_read_pairs", F.col("filtered_read_pairs").cast("string"))
 
 
 def _rows(df: DataFrame, columns: dict[str, Column]) -> DataFrame:

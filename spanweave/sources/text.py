@@ -155,8 +155,8 @@ def sam(spark: SparkSession, paths: Paths) -> DataFrame:
         return F.get("_f", F.lit(i))
 
     return rows.select(
-        "_pos", text(0).alias("qname"), text(1).cast("int").alias("flag"), F.nullif(text(2), F.lit("*")).alias("rname"), (text(3).cast("bigint") - 1).alias("pos"),
-        text(4).cast("int").alias("mapq"), text(5).alias("cigar"), text(9).alias("seq"), text(10).alias("qual"),
+        "_pos", text(0).alias("qname"), text(1).try_cast("int").alias("flag"), F.nullif(text(2), F.lit("*")).alias("rname"), (text(3).try_cast("bigint") - 1).alias("pos"),
+        text(4).try_cast("int").alias("mapq"), text(5).alias("cigar"), text(9).alias("seq"), text(10).alias("qual"),
     )
 
 
@@ -164,7 +164,7 @@ def sam(spark: SparkSession, paths: Paths) -> DataFrame:
 def bedgraph(spark: SparkSession, paths: Paths) -> DataFrame:
     """S25, text: (sample, chrom, start, end, value); sample is the file's name up to its first dot."""
     rows = lines(spark, paths).where(~F.col("value").rlike("^(track|browser|#)")).withColumn("_f", F.split("value", r"\s+"))
-    return rows.select(sample_name(F.col("path")).alias("sample"), F.get("_f", F.lit(0)).alias("chrom"), *[F.get("_f", F.lit(i)).cast("bigint").alias(n) for i, n in ((1, "start"), (2, "end"))], F.get("_f", F.lit(3)).cast("double").alias("value"))
+    return rows.select(sample_name(F.col("path")).alias("sample"), F.get("_f", F.lit(0)).alias("chrom"), *[F.get("_f", F.lit(i)).try_cast("bigint").alias(n) for i, n in ((1, "start"), (2, "end"))], F.get("_f", F.lit(3)).try_cast("double").alias("value"))
 
 
 def sample_name(path: Column) -> Column:
@@ -183,7 +183,7 @@ def table(spark: SparkSession, path: str, header: bool = True, sep: str | None =
 def chrom_sizes(spark: SparkSession, paths: Paths) -> DataFrame:
     """(chrom, length) of two columns between white space."""
     f = F.split(F.trim("value"), r"\s+")
-    return lines(spark, paths).select(F.get(f, F.lit(0)).alias("chrom"), F.get(f, F.lit(1)).cast("bigint").alias("length"))
+    return lines(spark, paths).select(F.get(f, F.lit(0)).alias("chrom"), F.get(f, F.lit(1)).try_cast("bigint").alias("length"))
 
 
 def feature_counts(spark: SparkSession, path: str, columns: tuple[int, ...] = (0, 5, 6)) -> DataFrame:
