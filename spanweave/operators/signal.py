@@ -6,7 +6,7 @@ Defined results: null values and reversed rows count as absent; a region without
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanweave.operators.intervals import overlap_join
@@ -27,10 +27,13 @@ def _all_pairs(regions: DataFrame, track: DataFrame) -> DataFrame:
 
 
 def values(regions: DataFrame, track: DataFrame) -> DataFrame:
-    """(id, sample, pos, value) of every base, pos from 0."""
-    bases = _all_pairs(regions, track).select("id", "sample", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1)).alias("pos"))
-    got = _parts(regions, track).select("id", "sample", F.explode(F.sequence("s", F.col("e") - 1)).alias("pos"), "value")
-    return bases.join(got, ["id", "sample", "pos"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+    """(id, sample, pos, value) of every base, pos from 0. Gaps are filled while signal is still run-length coded; bases are exploded last and never moved."""
+    none = _all_pairs(regions, track).select("id", "sample", "length", F.lit(0).cast("bigint").alias("s"), F.lit(0).cast("bigint").alias("e"), F.lit(0.0).alias("value"))
+    runs = none.unionByName(_parts(regions, track).select("id", "sample", (F.col("r_end") - F.col("r_start")).alias("length"), "s", "e", "value"))
+    after = F.coalesce(F.lead("s").over(Window.partitionBy("id", "sample").orderBy("s", "e")), F.col("length"))
+    run, gap = F.struct("s", "e", "value"), F.struct(F.col("e").alias("s"), F.col("_next").alias("e"), F.lit(0.0).alias("value"))
+    out = runs.withColumn("_next", after).select("id", "sample", F.explode(F.array(run, gap)).alias("_r")).where("_r.s < _r.e")
+    return out.select("id", "sample", F.explode(F.sequence("_r.s", F.col("_r.e") - 1)).alias("pos"), F.col("_r.value").alias("value"))
 
 
 def stats(regions: DataFrame, track: DataFrame) -> DataFrame:
@@ -75,11 +78,25 @@ def scale_region(regions: DataFrame, track: DataFrame, length: int = 1000, nbins
 
 
 def sliding_coverage(regions: DataFrame, track: DataFrame, nbins: int) -> DataFrame:
-    """(id, sample, pos, value): share of bases other than 0 among the ``nbins`` from pos on, as far as that many are left."""
-    runs = _parts(regions, track).where("value <> 0").groupBy("id", "sample").agg(F.collect_list(F.struct("s", "e")).alias("runs"))
-    at = _all_pairs(regions, track).where(F.col("length") >= nbins).join(runs, ["id", "sample"], "left").select("id", "sample", "runs", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - nbins)).alias("pos"))
-    size = F.aggregate(F.coalesce("runs", F.array().cast("array<struct<s:bigint,e:bigint>>")), F.lit(0).cast("bigint"), lambda a, r: a + F.greatest(F.least(r["e"], F.col("pos") + nbins) - F.greatest(r["s"], F.col("pos")), F.lit(0)))
-    return at.select("id", "sample", "pos", (size / nbins).alias("value"))
+    """(id, sample, pos, value): share of bases other than 0 among the ``nbins`` from pos on, as far as that many are left.
+
+    The count of such bases is linear between the places where an end of the window meets an end of a run, so it is summed over these and exploded last."""
+    zero = F.lit(0).cast("bigint")
+
+    def turn(at: Column, slope: int, count: Column) -> Column:
+        return F.struct(F.greatest(at, zero).alias("p"), F.lit(slope).cast("bigint").alias("slope"), count.alias("count"))
+
+    runs = _parts(regions, track).where("value <> 0").withColumn("length", F.col("r_end") - F.col("r_start")).where(F.col("length") >= nbins)
+    first = F.greatest(F.least("e", F.lit(nbins).cast("bigint")) - F.col("s"), zero)
+    turns = [turn(F.col("s") - nbins, 1, zero), turn(F.col("e") - nbins, -1, zero), turn(F.col("s"), -1, zero), turn(F.col("e"), 1, zero), turn(zero, 0, first)]
+    none = _all_pairs(regions, track).where(F.col("length") >= nbins).select("id", "sample", "length", turn(zero, 0, zero).alias("_t"))
+    got = none.unionByName(runs.select("id", "sample", "length", F.explode(F.array(*turns)).alias("_t"))).select("id", "sample", "length", "_t.*").where(F.col("p") <= F.col("length") - nbins)
+    got = got.groupBy("id", "sample", "length", "p").agg(F.sum("slope").alias("slope"), F.sum("count").alias("count"))
+    w = Window.partitionBy("id", "sample").orderBy("p")
+    until = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    line = {"_slope": F.sum("slope").over(until), "_count": F.sum(F.col("count") - F.col("slope") * F.col("p")).over(until), "_next": F.coalesce(F.lead("p").over(w), F.col("length") - nbins + 1)}
+    at = got.withColumns(line).select("id", "sample", "_slope", "_count", F.explode(F.sequence("p", F.col("_next") - 1)).alias("pos"))
+    return at.select("id", "sample", "pos", ((F.col("_count") + F.col("_slope") * F.col("pos")) / nbins).alias("value"))
 
 
 def _flipped(df: DataFrame, n: int) -> Column:

@@ -269,13 +269,13 @@ def signal_coverage_bins(spark: SparkSession, d: str) -> DataFrame:
 q AS (SELECT ps.id, ps.sample, pos, sum(greatest(least(e, pos + 100) - greatest(s, pos), 0)) AS k FROM ps JOIN pa ON ps.id = pa.id AND ps.sample = pa.sample GROUP BY 1, 2, 3)
 SELECT ps.id, ps.sample, ps.pos, coalesce(k, 0) / 100 AS value FROM ps LEFT JOIN q ON ps.id = q.id AND ps.sample = q.sample AND ps.pos = q.pos""")
 def signal_sliding(spark: SparkSession, d: str) -> DataFrame:
-    return sg.sliding_coverage(_regions(spark, d).where("end - start <= 400"), _track(spark, d), 100)
+    return sg.sliding_coverage(_regions(spark, d), _track(spark, d), 100)
 
 
 @R.add("signal_values", f"""WITH {_TRACK}, ps AS (SELECT id, sample, unnest(range(n)) AS pos FROM al WHERE n <= 400) SELECT ps.id, ps.sample, ps.pos, coalesce(v, 0)::DOUBLE AS value
 FROM ps LEFT JOIN pa ON ps.id = pa.id AND ps.sample = pa.sample AND ps.pos >= s AND ps.pos < e""")
 def signal_values(spark: SparkSession, d: str) -> DataFrame:
-    return sg.values(_regions(spark, d).where("end - start <= 400"), _track(spark, d))
+    return sg.values(_regions(spark, d), _track(spark, d))
 
 
 def _profile_sql(lo: str, hi: str, n: int) -> str:
