@@ -141,3 +141,31 @@ def block_list(bed12: DataFrame) -> DataFrame:
     """(bed_id, field_name, pos, val): each integer of blockSizes and blockStarts; an integer beyond 64 bits gives no row."""
     got = split_packed(bed12, "bed_id", ["blockSizes", "blockStarts"])
     return got.where(F.col("piece").rlike(r"^[+-]?[0-9]+\z")).select("bed_id", "field_name", "pos", F.expr("try_cast(piece AS BIGINT)").alias("val")).where(F.col("val").isNotNull())
+
+
+def with_pieces(df: DataFrame, fields: list[str]) -> DataFrame:
+    """``df`` with each string column of ``fields`` as the array of its pieces in order, empty pieces included; null stays null. Every row stays one row."""
+    words = block_values()
+    schema = T.StructType([T.StructField(f.name, T.ArrayType(T.StringType())) if f.name in fields else f for f in df.schema.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = segmenter(words)
+        for b in batches:
+            got = {n: pa.array([None if x is None else cutter(x) for x in b.column(n).to_pylist()], pa.list_(pa.string())) for n in fields}
+            yield pa.RecordBatch.from_arrays([got.get(n, b.column(n)) for n in b.schema.names], names=b.schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
+def block_pairs(bed12: DataFrame) -> DataFrame:
+    """(bed_id, start, blocks): the blocks of each row, ascending, blockSizes and blockStarts paired by position. Null where a field is null or without a piece, where the two have
+    different numbers of pieces, where a piece is no integer, or where a bound
+    has more than 64 bits."""
+    cut = with_pieces(bed12.select("bed_id", "start", "blockSizes", "blockStarts"), ["blockSizes", "blockStarts"])
+    numbers = [F.transform(c, lambda x: F.when(x.rlike(r"^[+-]?[0-9]+\z"), x.try_cast("bigint"))) for c in ("blockSizes", "blockStarts")]
+    cut = cut.select("bed_id", "start", numbers[0].alias("_n"), numbers[1].alias("_s"))
+    whole = (F.size("_n") > 0) & (F.size("_n") == F.size("_s")) & ~F.exists("_n", lambda x: x.isNull()) & ~F.exists("_s", lambda x: x.isNull())
+    first = lambda x: F.try_add(F.col("start"), x["_s"])
+    blocks = F.array_sort(F.transform(F.arrays_zip("_s", "_n"), lambda x: F.struct(first(x).alias("start"), F.try_add(first(x), x["_n"]).alias("end"))))
+    cut = cut.select("bed_id", "start", F.when(whole, blocks).alias("blocks"))
+    return cut.withColumn("blocks", F.when(~F.exists("blocks", lambda x: x["start"].isNull() | x["end"].isNull()), F.col("blocks")))

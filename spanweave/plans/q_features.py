@@ -9,6 +9,7 @@ from spanweave.functions import blocks as bl
 from spanweave.functions import sequence as sq
 from spanweave.operators import annotate as an
 from spanweave.operators import features as ft
+from spanweave.operators import packed
 from spanweave.operators import reads as rd
 from spanweave.operators import signal as sg
 from spanweave.plans.registry import Registry
@@ -425,8 +426,7 @@ def strand_inference(spark: SparkSession, d: str) -> DataFrame:
 @R.add("bed12_exons", """WITH c AS (SELECT bed_id, start, string_split(rtrim("blockSizes", ','), ',') AS n, string_split(rtrim("blockStarts", ','), ',') AS s FROM bed12 WHERE regexp_full_match("blockSizes", '([0-9]+,)+') AND regexp_full_match("blockStarts", '([0-9]+,)+')),
 u AS (SELECT bed_id, start + unnest(s)::BIGINT AS s, unnest(n)::BIGINT AS n FROM c WHERE len(s) = len(n)) SELECT bed_id, string_agg(s || '-' || (s + n), ',' ORDER BY s, n) AS exons FROM u GROUP BY bed_id""")
 def bed12_exons(spark: SparkSession, d: str) -> DataFrame:
-    b = load(spark, d, "bed12").where(F.col("blockSizes").rlike(r"^([0-9]+,)+$") & F.col("blockStarts").rlike(r"^([0-9]+,)+$") & (F.size(F.split("blockSizes", ",")) == F.size(F.split("blockStarts", ","))))
-    return b.withColumn("exons", bl.bed12_blocks(F.col("start"), F.col("blockSizes"), F.col("blockStarts"))).select("bed_id", _text("exons"))
+    return packed.block_pairs(load(spark, d, "bed12")).select("bed_id", _text("blocks").alias("exons"))
 
 
 @R.add("containment", "WITH g AS (SELECT DISTINCT gene_name AS s FROM trans_info WHERE gene_name IS NOT NULL AND gene_name <> '') SELECT a.s AS id_a, b.s AS id_b FROM g a, g b WHERE contains(a.s, b.s) AND a.s <> b.s")

@@ -48,3 +48,13 @@ def test_signal_sliding_at_every_position(spark, tables):
     got = {(r.id, r["sample"], r.pos): r.value for r in rows}
     assert got == {(*k, p): sum(v != 0 for v in y[p : p + 100]) / 100 for k, y in depths().items() for p in range(len(y) - 99)}
     assert len(got) == len(rows)
+
+
+def test_bed12_exons_of_every_row(spark, tmp_path):
+    rows = [
+        (1, 100, "10,20,", "0,50,", "100-110,150-170"), (2, 100, "10;20", '"0" "50"', "100-110,150-170"), (3, 100, "'20'|'10'", "50 : 0", "100-110,150-170"), (4, 100, "7", "0", "100-107"),
+        (5, 100, "10,nil,", "0,50,", None), (6, 100, "10,20", "0", None), (7, 100, None, "0,", None), (8, 100, "", "", None), (9, 100, "10,,5", "0,,20", None), (10, None, "10,", "0,", None), (11, 100, "9" * 30, "0", None), (12, 100, "9223372036854775807", "0", None),
+    ]
+    spark.createDataFrame([r[:4] for r in rows], "bed_id long, start long, blockSizes string, blockStarts string").write.parquet(f"{tmp_path}/bed12.parquet")
+    got = sorted((r.bed_id, r.exons) for r in entry.queries()["bed12_exons"](spark, str(tmp_path)).collect())
+    assert got == [(r[0], r[4]) for r in rows]
