@@ -62,11 +62,16 @@ def _with_zeros(regions: DataFrame, track: DataFrame, got: DataFrame, n: int) ->
     return bins.join(got, ["id", "sample", "bin"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
 
 
-def coverage_bins(regions: DataFrame, track: DataFrame, nbins: int) -> DataFrame:
-    """T4: share of bases other than 0 in each of ``nbins`` equal bins; a length that does not divide raises."""
+def coverage_bins(regions: DataFrame, track: DataFrame, nbins: int, fractional: bool = False) -> DataFrame:
+    """T4: share of bases other than 0 in each of ``nbins`` equal bins; a length that does not divide raises.
+
+    ``fractional``: bins of exactly length / nbins bases at any length; a base that two or more bins share counts in each by its part."""
+    parts = _parts(regions, track).withColumn("length", F.col("r_end") - F.col("r_start"))
+    if fractional:  # in units of 1 / nbins of a base every bin is ``length`` units wide
+        parts = parts.withColumns({"s": F.col("s") * nbins, "e": F.col("e") * nbins}).where("value <> 0")
+        return _with_zeros(regions, track, _binned(parts, F.col("length"), F.lit(nbins), F.lit(1.0)), nbins)
     fits = F.when(F.col("length") % nbins == 0, F.col("length")).otherwise(F.raise_error(F.lit("the length is no multiple of the number of bins")).cast("bigint"))
-    parts = _parts(regions, track).withColumn("length", F.col("r_end") - F.col("r_start")).withColumn("length", fits).where("value <> 0")
-    got = _binned(parts, F.expr(f"length div {nbins}"), F.lit(nbins), F.lit(1.0))
+    got = _binned(parts.withColumn("length", fits).where("value <> 0"), F.expr(f"length div {nbins}"), F.lit(nbins), F.lit(1.0))
     return _with_zeros(regions, track, got, nbins)
 
 

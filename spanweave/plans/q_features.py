@@ -263,7 +263,7 @@ _FIXED = """(re - rs) >= 500"""
 
 @R.add("signal_coverage_bins", _bin_sql("n // 10", 10, "1").replace("rg AS (SELECT record_id AS id, seqname AS chrom, start - 1 AS rs, \"end\" AS re", "rg AS (SELECT record_id AS id, seqname AS chrom, start - 1 AS rs, start - 1 + 500 AS re"))
 def signal_coverage_bins(spark: SparkSession, d: str) -> DataFrame:
-    return sg.coverage_bins(_regions(spark, d).withColumn("end", F.col("start") + 500), _track(spark, d), 10).withColumn("value", F.round("value", 6))
+    return sg.coverage_bins(_regions(spark, d), _track(spark, d), 10, fractional=True).withColumn("value", F.round("value", 6))
 
 
 @R.add("signal_sliding", f"""WITH {_TRACK}, few AS (SELECT * FROM al WHERE n >= 100 AND n <= 400), ps AS (SELECT id, sample, unnest(range(n - 100 + 1)) AS pos FROM few),

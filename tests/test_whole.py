@@ -50,6 +50,15 @@ def test_signal_sliding_at_every_position(spark, tables):
     assert len(got) == len(rows)
 
 
+def test_coverage_bins_of_whole_regions(spark, tables):
+    got = {(r.id, r["sample"], r.bin): r.value for r in entry.queries()["signal_coverage_bins"](spark, tables).collect()}
+    want = {}
+    for k, y in depths().items():
+        tenths = [v != 0 for v in y for _ in range(10)]  # a base as ten tenths: every bin is len(y) of them
+        want |= {(*k, b): round(sum(tenths[b * len(y) : (b + 1) * len(y)]) / len(y), 6) for b in range(10)}
+    assert got == want
+
+
 def test_bed12_exons_of_every_row(spark, tmp_path):
     rows = [
         (1, 100, "10,20,", "0,50,", "100-110,150-170"), (2, 100, "10;20", '"0" "50"', "100-110,150-170"), (3, 100, "'20'|'10'", "50 : 0", "100-110,150-170"), (4, 100, "7", "0", "100-107"),
