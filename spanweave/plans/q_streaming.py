@@ -71,7 +71,8 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("stream_greedy")
 def stream_greedy(spark: SparkSession, d: str) -> DataFrame:
-    return _run(spark, d, "events", lambda s: W.greedy_groups(W.as_timestamp(s), "user_id", "ts", "value", 20.0))
+    updates = _run(spark, d, "events", lambda s: W.greedy_groups(W.as_timestamp(s), "user_id", "ts", "value", 20.0), "update")
+    return W.latest_groups(updates, "user_id").select("user_id", "first", "last", "n")
 
 
 @R.add("stream_coverage")

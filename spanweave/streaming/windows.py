@@ -47,24 +47,37 @@ def running_dedup(df: DataFrame, time: str, late: str, keys: list[str]) -> DataF
 
 
 def greedy_groups(df: DataFrame, key: str, time: str, value: str, limit: float) -> DataFrame:
-    """groupby2 with ``start``: per key, rows join the open group while value - first value < limit; emits a group when the next one begins. Rows of one batch are taken by time."""
+    """groupby2 with ``start``: per key, rows join the open group while value - first value < limit; a null value joins nothing. Rows of one batch are taken by time.
+
+    Every batch gives out the groups it began or grew, the open one included, numbered from 0 within the key (update mode); ``latest_groups`` keeps the last state of each."""
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, n, last = state.get if state.exists else (None, 0, None)
-        done = []
-        rows = pd.concat(list(batches)).sort_values(time)
+        group, first, last, n = state.get if state.exists else (-1, None, None, 0)
+        out = []
+        rows = pd.concat(list(batches)).sort_values(time, kind="stable")
+        changed = False
         for v in rows[value].tolist():
-            if first is not None and v - first < limit:
+            v = None if pd.isna(v) else float(v)
+            if n and first is not None and v is not None and v - first < limit:
                 n, last = n + 1, v
             else:
-                if first is not None:
-                    done.append((k[0], first, last, n))
-                first, n, last = v, 1, v
-        state.update((first, n, last))
-        yield pd.DataFrame(done, columns=[key, "first", "last", "n"])
+                if changed:
+                    out.append((k[0], group, first, last, n))
+                group, first, last, n = group + 1, v, v, 1
+            changed = True
+        out.append((k[0], group, first, last, n))
+        state.update((group, first, last, n))
+        yield pd.DataFrame(out, columns=[key, "group", "first", "last", "n"]).astype({"first": "float64", "last": "float64"})
 
     kind = df.schema[key].dataType.simpleString()
-    return df.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, first double, last double, n long", "first double, n long, last double", "append", GroupStateTimeout.NoTimeout)
+    return df.groupBy(key).applyInPandasWithState(
+        run, f"{key} {kind}, group long, first double, last double, n long", "group long, first double, last double, n long", "update", GroupStateTimeout.NoTimeout
+    )
+
+
+def latest_groups(updates: DataFrame, key: str) -> DataFrame:
+    """The groups of ``greedy_groups`` from its collected updates: a group only grows, so its largest state is its last."""
+    return updates.groupBy(key, "group").agg(F.max_by(F.struct("first", "last", "n"), "n").alias("_g")).select(key, "group", "_g.*")
 
 
 def running_names(df: DataFrame, name: str, time: str) -> DataFrame:

@@ -5,6 +5,8 @@ import random
 
 import pytest
 
+import __spark_entry__ as entry
+from spanweave.operators import flow
 from spanweave.operators.coverage import IntervalMap
 from spanweave.streaming import windows as W
 
@@ -51,3 +53,24 @@ def test_dedup_within_watermark(run):
     rows = [(i % 4, t0 + dt.timedelta(minutes=i)) for i in range(24)]
     got = [r[0] for b in run(rows, "k long, ts timestamp", lambda s: W.running_dedup(s, "ts", "1 day", ["k"])) for r in b]
     assert sorted(got) == [0, 1, 2, 3]
+
+
+def test_greedy_groups_keep_the_open_group(spark, run):
+    t0, rng = dt.datetime(2024, 1, 1), random.Random(9)
+    rows = [(i % 7 if i < 118 else i, t0 + dt.timedelta(minutes=i), rng.choice([None, *map(float, range(60))])) for i in range(120)]
+    files = [rows[f * 40 + j] for j in range(40) for f in range(3)]  # the files follow one another in time
+    schema = "k long, ts timestamp, v double"
+    batches = run(files, schema, lambda s: W.greedy_groups(s, "k", "ts", "v", 20.0), "update")
+    updates = spark.createDataFrame([r for b in batches for r in b], "k long, group long, first double, last double, n long")
+    got = {(r.k, r.group): (r["first"], r["last"], r.n) for r in W.latest_groups(updates, "k").collect()}
+    want = flow.groupby2_start(spark.createDataFrame(rows, schema), lambda a, b: b - a < 20, "v", "ts", ["k"]).collect()
+    assert got == {(r.k, r.group): (r["values"][0], r["values"][-1], len(r["values"])) for r in want}
+    assert len(batches) == 3 and got[119, 0][2] == 1
+
+
+def test_stream_greedy_query(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, u, t0 + dt.timedelta(minutes=i), v) for i, (u, v) in enumerate([(1, 5.0), (1, 9.0), (1, 40.0), (2, 7.0), (1, 41.0)])]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(tuple(r) for r in entry.queries()["stream_greedy"](spark, str(tmp_path)).select("user_id", "first", "last", "n").collect())
+    assert got == [(1, 5.0, 9.0, 2), (1, 40.0, 41.0, 2), (2, 7.0, 7.0, 1)]
