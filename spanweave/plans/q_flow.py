@@ -79,6 +79,6 @@ _add("flow_flatten", "SELECT event_id, unnest([user_id, event_id]) AS v FROM eve
 _add(
     "flow_concat",
     "SELECT event_id, user_id FROM events WHERE event_id <= 50 UNION ALL SELECT event_id - (SELECT min(event_id) FROM events WHERE event_id > 900) + (SELECT max(event_id) FROM events WHERE event_id <= 50) + 1, user_id FROM events WHERE event_id > 900",
-    lambda e: flow.concat(e.where("event_id <= 50").select("event_id", "user_id"), e.where("event_id > 900").select("event_id", "user_id"), "event_id"),
+    lambda e: flow.concat(e.select("event_id", "user_id"), e.select("event_id", "user_id"), "event_id"),
 )
 _add("flow_nothing", f"SELECT {_C} FROM events", flow.nothing)

@@ -67,3 +67,10 @@ def test_bed12_exons_of_every_row(spark, tmp_path):
     spark.createDataFrame([r[:4] for r in rows], "bed_id long, start long, blockSizes string, blockStarts string").write.parquet(f"{tmp_path}/bed12.parquet")
     got = sorted((r.bed_id, r.exons) for r in entry.queries()["bed12_exons"](spark, str(tmp_path)).collect())
     assert got == [(r[0], r[4]) for r in rows]
+
+
+def test_flow_concat_of_whole_tables(spark, tmp_path):
+    rows = [(i, i % 5, "view", 1.0) for i in range(3, 1200)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(tuple(r) for r in entry.queries()["flow_concat"](spark, str(tmp_path)).collect())
+    assert got == [(i, i % 5) for i in range(3, 1200)] + [(i - 3 + 1200, i % 5) for i in range(3, 1200)]
