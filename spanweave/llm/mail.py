@@ -106,46 +106,54 @@ def from_html(text: str) -> str:
     return html.unescape(_TAG.sub("\n", _INLINE_TAG.sub("", text)))
 
 
-def _part(headers: dict[str, str], body: str, out: list[str], depth: int) -> None:
-    kind = headers.get("content-type", "text/plain")
-    main = kind.partition(";")[0].strip().lower() or "text/plain"
-    params = {k.lower(): (a or b) for k, a, b in _PARAM.findall(kind)} if ";" in kind else {}
-    if main.startswith("multipart/") and depth < DEPTH:
-        mark = params.get("boundary")
-        if mark:
-            pieces = re.split(rf"(?:^|\n)--{re.escape(mark)}(--)?[ \t]*(?=\n|\Z)", body)
-            for i in range(2, len(pieces), 2):
-                if pieces[i - 1]:  # after the closing mark
-                    break
-                piece = pieces[i].removeprefix("\n")
-                got = _split(piece)
-                if got is None:
-                    got = {}, piece.removeprefix("\n")
-                _part(*got, out, depth + 1)
-            return
-    elif main == "message/rfc822" and depth < DEPTH:
-        _message(body.lstrip("\n"), out, depth + 1)
-        return
-    elif not main.startswith("text/") and not main.startswith("multipart/"):
-        return
-    charset = params.get("charset", "utf-8") or "utf-8"
-    how = headers.get("content-transfer-encoding", "").strip().lower()
-    if how == "base64":
-        body = _decode(_from_base64(body), charset)
-    elif how == "quoted-printable":
-        body = _from_quoted(body, charset)
-    out.append(from_html(body) if main == "text/html" else body)
-
-
-def _message(text: str, out: list[str], depth: int) -> None:
-    got = _split(text)
-    if got is None:
-        out.append(text)
-        return
-    headers, body = got
-    if headers.get("subject"):
-        out.append(_header_text(headers["subject"]))
-    _part(headers, body, out, depth)
+def _parts(body: str, mark: str) -> list[tuple[dict[str, str], str]] | None:
+    """Headers and body of each part between boundary lines; None where no such line stands in the body."""
+    pieces = re.split(rf"(?:^|\n)--{re.escape(mark)}(--)?[ \t]*(?=\n|\Z)", body)
+    if len(pieces) == 1:
+        return None
+    out = []
+    for i in range(2, len(pieces), 2):
+        if pieces[i - 1]:  # after the closing mark
+            break
+        piece = pieces[i].removeprefix("\n")
+        out.append(_split(piece) or ({}, piece.removeprefix("\n")))
+    return out
+
+
+def _message(text: str, out: list[str]) -> None:
+    """The texts of a message in order, at any depth; ``todo`` holds messages (text) and parts (headers and body) that still wait."""
+    todo: list[str | tuple[dict[str, str], str]] = [text]
+    while todo:
+        now = todo.pop()
+        if isinstance(now, str):
+            got = _split(now)
+            if got is None:
+                out.append(now)
+                continue
+            if got[0].get("subject"):
+                out.append(_header_text(got[0]["subject"]))
+            now = got
+        headers, body = now
+        kind = headers.get("content-type", "text/plain")
+        main = kind.partition(";")[0].strip().lower() or "text/plain"
+        params = {k.lower(): (a or b) for k, a, b in _PARAM.findall(kind)} if ";" in kind else {}
+        if main.startswith("multipart/"):
+            parts = _parts(body, params["boundary"]) if params.get("boundary") else None
+            if parts is not None:
+                todo += reversed(parts)
+                continue
+        elif main == "message/rfc822":
+            todo.append(body.lstrip("\n"))
+            continue
+        elif not main.startswith("text/"):
+            continue
+        charset = params.get("charset", "utf-8") or "utf-8"
+        how = headers.get("content-transfer-encoding", "").strip().lower()
+        if how == "base64":
+            body = _decode(_from_base64(body), charset)
+        elif how == "quoted-printable":
+            body = _from_quoted(body, charset)
+        out.append(from_html(body) if main == "text/html" else body)
 
 
 def readable(text: str) -> list[str]:
@@ -155,7 +163,7 @@ def readable(text: str) -> list[str]:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
     if text.startswith("From ") and "\n" in text:
         text = text.partition("\n")[2]
-    _message(text, out, 0)
+    _message(text, out)
     for i, t in enumerate(out):
         if not t.isascii():
             t = _NO_WIDTH.sub("", t)

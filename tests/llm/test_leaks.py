@@ -89,3 +89,14 @@ def test_reader_never_fails():
     parts = ["Content-Type: ", "multipart/mixed; boundary=q", "\n", "\n\n", "--q", "--q--", "text/html", "<b", ">", "&#", "=?utf-8?b?", "?=", "=E9", "\r", "base64", "Content-Transfer-Encoding: ", "Subject: ", "é", "\0", "> A> "]
     for _ in range(3000):
         mail.readable("".join(rng.choices(parts, k=rng.randint(0, 25))))
+
+
+def test_deep_parts_and_absent_boundaries(spark):
+    mixed = 'Content-Type: multipart/mixed; boundary="b{0}"\n\n--b{0}\n'
+    deep = HEAD + "".join(mixed.format(i) for i in range(40)) + "Content-Transfer-Encoding: base64\n\n" + b64(PASSAGE)
+    far = HEAD + "Content-Type: message/rfc822\n\n" * 3000 + HEAD + "\n" + PASSAGE
+    absent = HEAD + "Content-Type: multipart/mixed; boundary=q\n\n" + PASSAGE
+    docs = spark.createDataFrame([(1, deep), (2, far), (3, absent), (4, HEAD)], "doc_id long, text string")
+    assert {r.doc_id for r in leaks.find_leaks(docs, items(spark)).collect()} == {1, 2, 3}
+    assert [r.doc_id for r in leaks.without_leaks(docs, items(spark)).collect()] == [4]
+    assert mail.readable(HEAD + mixed.format(1) + "\nx\n--b1\nContent-Type: message/rfc822\n\nSubject: s\n\ny\n--b1\n\nz") == ["note", "x", "s", "y", "z"]
