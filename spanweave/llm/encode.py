@@ -2,7 +2,7 @@
 
 A text is cut into pieces by the vocabulary's pattern. The pieces of a batch that a task has not met yet are encoded together: pieces of similar length
 are the rows of a padded matrix of ids; each round every row merges its leftmost pair of minimum rank, found through a hashed table of pairs, and is
-compacted; rows without a pair left drop out. The tables (about 1.5 MB, checked) travel from the driver, so executors need no file.
+compacted; rows without a pair left drop out. A piece met before is found by its hash and compared by character. The tables (about 1.5 MB, checked) travel from the driver, so executors need no file.
 
 Defined results: a null text and an empty one give the empty list; strings of special tokens are ordinary text; repeated rows give repeated rows.
 """
@@ -18,6 +18,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from spanweave.llm.hashing import Hasher
+
 BYTE_BPE_50K = "/opt/tokenizers/byte_bpe_50k.json"
 TABLES_AT_MOST = 64 << 20
 #: Pieces that a task remembers, and characters of text that it takes at once.
@@ -27,7 +29,6 @@ LONGEST_ROW = 256
 _WIDTHS = (2, 3, 4, 5, 6, 7, 8, 10, 12, 16, 24, 32, 48, 64, 96, 128, 192, LONGEST_ROW)
 _BITS, _MULT = 18, np.uint64(0x9E3779B97F4A7C15)
 _KNOWN_BITS = 21
-_BASE = np.uint64(0xD6E8FEB86659FD93)
 _NONE = np.int32(2**31 - 1)
 
 _OTHER, _LETTER, _DIGIT, _SPACE = range(4)
@@ -106,21 +107,10 @@ def load_tables(path: str) -> dict[str, np.ndarray]:
     return {"single": single, "pairs": pairs, "kinds": _kinds()}
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = x + np.uint64(0x9E3779B97F4A7C15)
-    x ^= x >> np.uint64(30)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
-    x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
-    return x
-
-
 class Encoder:
     def __init__(self, tables: dict[str, np.ndarray]) -> None:
         self.single, pairs, self.kinds = tables["single"], tables["pairs"], tables["kinds"]
-        self.mixed = _mix(np.arange(0x110000, dtype=np.uint64))
-        self.power = self.inverse = np.ones(1, np.uint64)
+        self.hasher = Hasher()
         size = 1 << _BITS
         self.keys, self.rank, self.into = np.full(size, -1, np.int64), np.full(size, _NONE, np.int32), np.zeros(size, np.int32)
         seen = set()
@@ -139,17 +129,10 @@ class Encoder:
         self.size, self.bits = 0, bits
         self.hashes, self.place = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
         self.flat, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
-
-    def _powers(self, n: int) -> None:
-        if n > len(self.power):
-            n = max(n, CHUNK + 1)
-            for name, base in (("power", int(_BASE)), ("inverse", pow(int(_BASE), -1, 1 << 64))):
-                p = np.full(n, np.uint64(base))
-                p[0] = 1
-                setattr(self, name, np.multiply.accumulate(p))
+        self.chars, self.char_ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _known(self, hashes: np.ndarray) -> np.ndarray:
-        """The store's index of each piece, -1 where it is new."""
+        """The store's index of a piece of equal hash, -1 where there is none."""
         mask = (1 << self.bits) - 1
         slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
         out = self.place[slot]
@@ -298,6 +281,26 @@ class Encoder:
         self.ends = np.concatenate([self.ends, self.ends[-1] + ends])
         self.flat = np.concatenate([self.flat, flat])
 
+    def _store(self, full: str, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Append pieces of a text to the store, their characters and their ids."""
+        size = ends - starts
+        upto = np.cumsum(size)
+        place = np.arange(upto[-1] if len(upto) else 0) + np.repeat(starts - (upto - size), size)
+        self.chars = np.concatenate([self.chars, codes[place]])
+        self.char_ends = np.concatenate([self.char_ends, self.char_ends[-1] + upto])
+        self._learn([full[a:b].encode() for a, b in zip(starts.tolist(), ends.tolist())])
+
+    def _same(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, index: np.ndarray) -> np.ndarray:
+        """Whether each piece has the characters of the stored one; the pieces lie end to end."""
+        size = ends - starts
+        begin = self.char_ends[index]
+        fits = self.char_ends[index + 1] - begin == size
+        if not len(index):
+            return fits
+        place = np.arange(len(codes)) + np.repeat(np.where(fits, begin - starts, -starts), size)
+        equal = self.chars[np.minimum(place, len(self.chars) - 1)] == codes
+        return fits & np.logical_and.reduceat(equal, starts)
+
     def batch(self, texts: list[str | None]) -> pa.ListArray:
         """The ids of each text."""
         if self.size > REMEMBERED:
@@ -310,11 +313,9 @@ class Encoder:
         starts = piece_starts(codes, self.kinds, (doc_ends - chars)[chars > 0]) if n else np.zeros(0, np.int64)
         if self.size + len(starts) > 1 << (self.bits - 1):  # one very long text
             self.forget(max(_KNOWN_BITS, 1 + len(starts).bit_length()))
-        self._powers(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.mixed[codes] * self.power[:n], out=sums[1:])
+        self.hasher.take(codes)
         ends = np.append(starts[1:], n)
-        hashes = _mix((sums[ends] - sums[starts]) * self.inverse[starts])
+        hashes = self.hasher.of(starts, ends)
         index = self._known(hashes)
         new = np.flatnonzero(index < 0)
         for s in range(0, len(new), REMEMBERED):
@@ -322,9 +323,14 @@ class Encoder:
             some = some[self._known(hashes[some]) < 0]
             fresh, where = np.unique(hashes[some], return_index=True)
             where = some[where]
-            self._learn([full[a:b].encode() for a, b in zip(starts[where].tolist(), ends[where].tolist())])
+            self._store(full, codes, starts[where], ends[where])
             self._remember(fresh)
         index[new] = self._known(hashes[new])
+        wrong = np.flatnonzero(~self._same(codes, starts, ends, index))
+        if len(wrong):  # other characters of equal hash: encoded each for itself
+            self._store(full, codes, starts[wrong], ends[wrong])
+            index[wrong] = self.size + np.arange(len(wrong))
+            self.size += len(wrong)
         counts = np.diff(np.searchsorted(starts, np.r_[0, doc_ends]))
         flat, ends = self.flat, self.ends
         start = ends[index]

@@ -62,3 +62,21 @@ def test_heap_equals_matrix(both):
         ids = ours.single[np.frombuffer(word, np.uint8)]
         row = ours._matrix(ids[None].astype(np.int32).copy())[0]
         assert ours._heap(ids.tolist()) == [x for x in row.tolist() if x >= 0]
+
+
+def thue_morse(n, flip):
+    return "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [512, 1024, 2048, 4096])
+def test_unequal_pieces_of_equal_hash(both, n):
+    texts = [thue_morse(n, 0) + " x", thue_morse(n, 1) + " x", thue_morse(n, 0)]
+    assert both[0].batch(texts).to_pylist() == both[1](texts)
+    assert both[0].batch(texts[::-1]).to_pylist() == both[1](texts[::-1])
+
+
+def test_hashes_that_all_collide(both, monkeypatch):
+    monkeypatch.setattr(encode.Hasher, "of", lambda self, start, end: np.full(len(start), 5, np.uint64))
+    ours = encode.Encoder(encode.load_tables(encode.BYTE_BPE_50K))
+    for texts in (["one two three one", "two 12"], ["", "three's a crowd", "one"]):
+        assert ours.batch(texts).to_pylist() == both[1](texts)
