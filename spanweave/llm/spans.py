@@ -271,12 +271,12 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     texts = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")).where(F.col(key).isNotNull() & (F.length(text) >= length))
     index = cut(_index(texts, length, gram))
     anchors = index.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count("*").alias("rows")).where("a < b")
+    anchors = cut(anchors.select("h", "rows"))
     found = cut(hot_join(index, anchors.select("h"), ["h"], hot_keys(anchors, ["h"], "rows", index)))  # blocks whose anchor stands in several records
-    classes = found.groupBy(*_CLASS).agg(F.min(F.struct("doc", "at")).alias("one"), (F.min("doc") < F.max("doc")).alias("several"), F.count("*").alias("rows"))
-    per_anchor = classes.groupBy("h").agg(F.count("*").alias("n"))
-    classes = cut(hot_join(classes, per_anchor, ["h"], hot_keys(per_anchor, ["h"], "n", index)))
+    classes = cut(found.groupBy(*_CLASS).agg(F.min(F.struct("doc", "at")).alias("one"), (F.min("doc") < F.max("doc")).alias("several"), F.count("*").alias("rows")))
     whole = classes.where("several").select(*_CLASS, F.array(F.struct((-F.col("before")).alias("s"), (F.lit(length) - F.col("after")).alias("e"))).alias("spans"))
-    rest = classes.where("n > 1").select(*_CLASS, "n", "several", F.col("one.doc").alias("doc"), F.col("one.at").alias("at"))
+    edges_of = cut(classes.groupBy("h").agg(F.count("*").alias("n"), F.bool_and("several").alias("known")).where("n > 1 AND NOT known").select("h", "n"))
+    rest = hot_join(classes, edges_of, ["h"], hot_keys(edges_of, ["h"], "n", classes)).select(*_CLASS, "n", "several", F.col("one.doc").alias("doc"), F.col("one.at").alias("at"))
     read = F.substring(F.col("text"), F.col("at") - F.col("before") + 1, F.col("before") - F.col("after") + length)
     edges = cut(rest.join(texts, "doc").select(*_CLASS, "n", "several", "doc", read.alias("text")))
     answers = cut(whole.unionByName(_boundaries(edges, length)))
