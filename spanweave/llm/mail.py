@@ -26,9 +26,8 @@ _NO_WIDTH = re.compile(
     "[\xad\u0300-\u036f\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u20d0-\u20ff\ufe00-\ufe0f\ufe20-\ufe2f\ufeff\ufff9-\ufffb\U000e0000-\U000e0fff]"
     "|\xc2\xad|\xe2\u0080[\u008b-\u008f]|\xe2\u20ac[\u2039\u0152\u008d\u017d\u008f]|\xe2\u0081\xa0|\xef\xbb\xbf"
 )
-#: Initials before a quote sign, as in "> KO> text".
-_INITIALS = re.compile("^([ \\t>|\u00bb]*)[A-Za-z]{1,4}>", re.MULTILINE)
-DEPTH = 12
+#: Initials before quote signs, however many, as in "> KO> ab> text".
+_INITIALS = re.compile("^(?:[ \\t>|\u00bb]*[A-Za-z]{1,4}>)+", re.MULTILINE)
 
 
 def _decode(raw: bytes, charset: str) -> str:
@@ -167,11 +166,7 @@ def readable(text: str) -> list[str]:
     for i, t in enumerate(out):
         if not t.isascii():
             t = _NO_WIDTH.sub("", t)
-        for _ in range(DEPTH):
-            if ">" not in t:
-                break
-            t, n = _INITIALS.subn(r"\1", t)
-            if not n:
-                break
+        if ">" in t:
+            t = _INITIALS.sub("> ", t)
         out[i] = t
     return out

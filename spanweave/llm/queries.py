@@ -26,6 +26,11 @@ def p7_kept(spark: SparkSession, d: str) -> DataFrame:
     return leaks.without_leaks(load(spark, d, "documents").select("doc_id", "text"), load(spark, d, "eval_items")).select("doc_id")
 
 
+@R.add("p7_cleaned")
+def p7_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.without_passages(load(spark, d, "documents"), load(spark, d, "eval_items"))
+
+
 @R.add("p8_found")
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_spans(load(spark, d, "documents"))

@@ -54,21 +54,27 @@ CLEAN = {
 }
 
 
-def test_messages(spark):
+def test_messages(spark, monkeypatch):
     names = [*TEXTS, *CLEAN]
     docs = spark.createDataFrame([(i, (TEXTS | CLEAN)[n], 7) for i, n in enumerate(names)], "doc_id long, text string, item_id int")
     got = {names[r.doc_id] for r in leaks.find_leaks(docs, items(spark)).collect()}
     assert got == set(TEXTS)
     kept = {names[r.doc_id] for r in leaks.without_leaks(docs, items(spark)).collect()}
     assert kept == set(CLEAN)
+    parts = leaks.without_passages(docs, items(spark)).collect()
+    assert {names[r.doc_id] for r in parts if r["items"]} == set(TEXTS)
+    again = spark.createDataFrame([(i, r.text) for i, r in enumerate(parts)], "doc_id long, text string")
+    assert leaks.find_leaks(again, items(spark)).count() == 0
+    monkeypatch.setattr(leaks, "BROADCAST_CHARS", 10)
+    assert {names[r.doc_id] for r in leaks.find_leaks(docs, items(spark)).collect()} == set(TEXTS)
 
 
 def test_shared_passages_repeats_and_empty_tables(spark, monkeypatch):
     docs = spark.createDataFrame([(1, PASSAGE + "\n" + PASSAGE), (1, PASSAGE), (2, "x " * 100_000 + PASSAGE)], "doc_id long, text string")
     more = items(spark, [(5, "Before this: " + PASSAGE)])
     assert sorted(tuple(r) for r in leaks.find_leaks(docs, more).collect()) == [(1, 1), (1, 1), (1, 5), (1, 5), (2, 1), (2, 5)]
-    monkeypatch.setattr(leaks, "BLOCK_CHARS", 10)
-    assert leaks.find_leaks(docs, more).count() == 6
+    monkeypatch.setattr(leaks, "BROADCAST_CHARS", 10)
+    assert sorted(tuple(r) for r in leaks.find_leaks(docs, more).collect()) == [(1, 1), (1, 5), (2, 1), (2, 5)]
     assert leaks.find_leaks(docs.limit(0), more).count() == 0
     assert leaks.find_leaks(docs, more.limit(0)).count() == 0
 
@@ -100,3 +106,15 @@ def test_deep_parts_and_absent_boundaries(spark):
     assert {r.doc_id for r in leaks.find_leaks(docs, items(spark)).collect()} == {1, 2, 3}
     assert [r.doc_id for r in leaks.without_leaks(docs, items(spark)).collect()] == [4]
     assert mail.readable(HEAD + mixed.format(1) + "\nx\n--b1\nContent-Type: message/rfc822\n\nSubject: s\n\ny\n--b1\n\nz") == ["note", "x", "s", "y", "z"]
+
+
+def test_initials_at_any_depth():
+    assert mail.readable("AB> " * 60 + "one\n>> ab>cd> two, but x > y") == [">  one\n>  two, but x > y"]
+
+
+def test_cleaned_spans():
+    grams, known = leaks._runs([(1, "a b c d e"), (2, "c d e f")], 3)
+    assert leaks.cleaned("x \u0130 A, b c D e; F! y a b", grams, known, 3) == ("x \u0130 ! y a b", [1, 2])
+    assert leaks.cleaned("a b c z d e f a b c", grams, known, 3) == (" z  ", [1, 2])
+    assert leaks.cleaned("c d a b c e", grams, known, 3) == ("", [1, 2])
+    assert leaks.cleaned("", grams, known, 3) == ("", [])
