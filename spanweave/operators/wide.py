@@ -11,7 +11,6 @@ kept; null values give no cell; attributes without a column are left out; an ent
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,40 +19,31 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanweave.functions.attributes import SYNONYMS, key_reader, raw_pairs
+
 #: The columns of the wide table, and other names of some keys.
 GTF_COLUMNS = {
     "gene_id": "string", "transcript_id": "string", "gene_name": "string", "gene_type": "string", "transcript_type": "string",
     "tag": "string", "exon_number": "bigint", "level": "bigint", "support": "bigint",
 }
-GTF_SYNONYMS = {"gene": "gene_name", "gene_biotype": "gene_type", "transcript_biotype": "transcript_type"}
 GTF_LISTED = ("tag",)
 
-#: Key, then a value in double quotes, in single quotes (up to the one before a semicolon or the end) or bare.
-_PAIR = r"""(?:^|;)\s*([^\s;="']+)(?:\s*=\s*|\s+)(?:"([^"]*)"|'(.*?)'(?=\s*(?:;|\Z))|([^;]*))"""
 
 
 def attribute_rows(df: DataFrame, entity: str, attributes: str, synonyms: dict[str, str] | None = None) -> DataFrame:
     """(entity, attribute, pos, value) of each pair of a GTF attribute column in any house style; keys in lower case, values bare or null."""
-    names = dict(GTF_SYNONYMS if synonyms is None else synonyms)
+    names = dict(SYNONYMS if synonyms is None else synonyms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, known = re.compile(_PAIR, re.DOTALL).findall, {}
+        key = key_reader(names)
         for b in batches:
             rows, keys, pos, values = [], [], [], []
             for r, text in enumerate(b.column(1).to_pylist()):
-                if text:
-                    for i, (k, double, single, bare) in enumerate(pairs(text)):
-                        key = known.get(k)
-                        if key is None:
-                            low = k.lower()
-                            key = names.get(low, low)
-                            if len(known) < 100_000:
-                                known[k] = key
-                        v = (double or single or bare).strip()
-                        rows.append(r)
-                        keys.append(key)
-                        pos.append(i)
-                        values.append(None if v == "" or v == "." else v)
+                for i, (k, v) in enumerate(raw_pairs(text) if text else ()):
+                    rows.append(r)
+                    keys.append(key(k))
+                    pos.append(i)
+                    values.append(None if v == "" or v == "." else v)
             ids = b.column(0).take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.string()), pa.array(pos, pa.int64()), pa.array(values, pa.string())], names=[entity, "attribute", "pos", "value"])
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanweave.functions.attributes import with_attributes
 from spanweave.operators import badrows, coverage, hotkeys, packed, wide
 from spanweave.plans.registry import Registry
 from spanweave.runtime import load
@@ -64,6 +65,21 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return packed.block_list(load(spark, d, "bed12"))
 
 
+_PAIRS_SQL = r"""regexp_extract_all(t, '[\s;]*([^\s;="'']+)(?:\s*=\s*|\s+)("[^"]*"\s*;|''.*?''\s*;|[^;]*;)', {})"""
+CELLS_SQL = (
+    f"""WITH a AS (SELECT record_id, attributes || ';' AS t FROM gtf WHERE %s),
+p AS (SELECT record_id, unnest({_PAIRS_SQL.format(1)}) AS k, unnest({_PAIRS_SQL.format(2)}) AS v, unnest(range(len({_PAIRS_SQL.format(1)}))) AS pos FROM a),"""
+    + r"""q AS (SELECT record_id, pos, lower(k) AS k, trim(regexp_replace(v, '\s*;$', '')) AS v FROM p),
+n AS (SELECT record_id, pos, CASE k WHEN 'gene' THEN 'gene_name' WHEN 'gene_biotype' THEN 'gene_type' WHEN 'transcript_biotype' THEN 'transcript_type' ELSE k END AS k,
+ trim(CASE WHEN length(v) > 1 AND v[1] IN ('"', chr(39)) AND v[-1] = v[1] THEN v[2:-2] ELSE v END) AS v FROM q),
+m AS (SELECT * FROM n WHERE v NOT IN ('', '.')),
+c AS (SELECT record_id, k AS col_name, first(v ORDER BY pos) AS cell FROM m
+ WHERE k IN ('gene_id', 'transcript_id', 'gene_name', 'gene_type', 'transcript_type') GROUP BY record_id, k
+ UNION ALL SELECT record_id, k, string_agg(v, ',' ORDER BY pos) FROM m WHERE k = 'tag' GROUP BY record_id, k
+ UNION ALL SELECT record_id, k, first(v::BIGINT ORDER BY pos)::VARCHAR FROM m
+ WHERE k IN ('exon_number', 'level', 'support') AND regexp_full_match(v, '[+-]?[0-9]+') GROUP BY record_id, k) """
+)
+
 @R.add(
     "p3_found",
     """SELECT 'gtf.seqname' AS field_name, seqname AS key_value FROM gtf WHERE seqname IS NOT NULL GROUP BY seqname HAVING count(*) >= 0.05 * (SELECT count(*) FROM gtf)
@@ -73,61 +89,41 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return hotkeys.heavy_keys(load(spark, d, "gtf"), "seqname", "gtf.seqname").unionByName(hotkeys.heavy_keys(load(spark, d, "trans_info"), "gene_id", "trans_info.gene_id"))
 
 
-def _with_ids(gtf: DataFrame) -> DataFrame:
-    def one(key: str) -> str:
-        return rf"""(?i)(?:^|;)\s*{key}(?:\s*=\s*|\s+)["']?([^\s;"']+)"""
-
-    return gtf.withColumns({k: F.nullif(F.regexp_extract("attributes", one(k), 1), F.lit("")) for k in ("gene_id", "transcript_id")})
-
-
 @R.add(
     "p3_seqname",
-    r"""SELECT seqname, count(*) AS n_rows, min(start) AS min_start, max("end") AS max_end,
- count(DISTINCT nullif(regexp_extract(attributes, '(?i)(?:^|;)\s*transcript_id(?:\s*=\s*|\s+)["'']?([^\s;"'']+)', 1), '')) AS n_transcripts FROM gtf WHERE seqname IS NOT NULL GROUP BY seqname""",
+    CELLS_SQL % "true"
+    + """SELECT seqname, count(*) AS n_rows, min(start) AS min_start, max("end") AS max_end, count(DISTINCT cell) AS n_transcripts
+ FROM gtf LEFT JOIN (SELECT record_id, cell FROM c WHERE col_name = 'transcript_id') i ON gtf.record_id = i.record_id WHERE seqname IS NOT NULL GROUP BY seqname""",
 )
 def p3_seqname(spark: SparkSession, d: str) -> DataFrame:
-    gtf = _with_ids(load(spark, d, "gtf"))
+    gtf = with_attributes(load(spark, d, "gtf"), ["transcript_id"])
     return hotkeys.key_results(gtf, "seqname", "start", "end", "transcript_id").toDF("seqname", "n_rows", "min_start", "max_end", "n_transcripts")
 
 
 @R.add(
     "p3_gene",
-    r"""WITH x AS (SELECT nullif(regexp_extract(attributes, '(?i)(?:^|;)\s*gene_id(?:\s*=\s*|\s+)["'']?([^\s;"'']+)', 1), '') AS gene_id, start, "end" FROM gtf),
-e AS (SELECT gene_id, min(start) AS min_start, max("end") AS max_end FROM x WHERE gene_id IS NOT NULL GROUP BY gene_id)
+    CELLS_SQL % "true"
+    + """, e AS (SELECT cell AS gene_id, min(start) AS min_start, max("end") AS max_end FROM c JOIN gtf ON c.record_id = gtf.record_id WHERE col_name = 'gene_id' GROUP BY cell)
 SELECT gene_id, n_rows, n_transcripts, min_start, max_end FROM (SELECT gene_id, count(*) AS n_rows, count(DISTINCT transcript_id) AS n_transcripts FROM trans_info
  WHERE gene_id IS NOT NULL GROUP BY gene_id) LEFT JOIN e USING (gene_id)""",
 )
 def p3_gene(spark: SparkSession, d: str) -> DataFrame:
     rows = hotkeys.key_results(load(spark, d, "trans_info"), "gene_id", None, None, "transcript_id")
-    extent = hotkeys.key_profile(_with_ids(load(spark, d, "gtf")), "gene_id", "start", "end")
+    extent = hotkeys.key_profile(with_attributes(load(spark, d, "gtf"), ["gene_id"]), "gene_id", "start", "end")
     extent = extent.select("gene_id", F.col("min_low").alias("min_start"), F.col("max_high").alias("max_end"))
     return rows.select("gene_id", "n_rows", F.col("n_members").alias("n_transcripts")).join(extent, "gene_id", "left")
 
 
-_PAIRS_SQL = r"""regexp_extract_all(t, '[\s;]*([^\s;="'']+)(?:\s*=\s*|\s+)("[^"]*"\s*;|''.*?''\s*;|[^;]*;)', {})"""
-_CELLS = (
-    f"""WITH a AS (SELECT record_id, attributes || ';' AS t FROM gtf WHERE %s),
-p AS (SELECT record_id, unnest({_PAIRS_SQL.format(1)}) AS k, unnest({_PAIRS_SQL.format(2)}) AS v, unnest(range(len({_PAIRS_SQL.format(1)}))) AS pos FROM a),"""
-    + r"""q AS (SELECT record_id, pos, lower(k) AS k, trim(regexp_replace(v, '\s*;$', '')) AS v FROM p),
-n AS (SELECT record_id, pos, CASE k WHEN 'gene' THEN 'gene_name' WHEN 'gene_biotype' THEN 'gene_type' WHEN 'transcript_biotype' THEN 'transcript_type' ELSE k END AS k,
- trim(CASE WHEN length(v) > 1 AND v[1] IN ('"', chr(39)) AND v[-1] = v[1] THEN v[2:-2] ELSE v END) AS v FROM q),
-m AS (SELECT * FROM n WHERE v NOT IN ('', '.')),
-c AS (SELECT record_id, k AS col_name, first(v ORDER BY pos) AS cell FROM m
- WHERE k IN ('gene_id', 'transcript_id', 'gene_name', 'gene_type', 'transcript_type') GROUP BY record_id, k
- UNION ALL SELECT record_id, k, string_agg(v, ',' ORDER BY pos) FROM m WHERE k = 'tag' GROUP BY record_id, k
- UNION ALL SELECT record_id, k, first(v::BIGINT ORDER BY pos)::VARCHAR FROM m
- WHERE k IN ('exon_number', 'level', 'support') AND regexp_full_match(v, '[+-]?[0-9]+') GROUP BY record_id, k) """
-)
 _WIDE = ", ".join(f"max(CASE WHEN col_name = '{c}' THEN cell END)::{'BIGINT' if k == 'bigint' else 'VARCHAR'} AS {c}" for c, k in wide.GTF_COLUMNS.items())
 
 
-@R.add("p4_found", _CELLS % "source = 'curated'" + "SELECT * FROM c")
+@R.add("p4_found", CELLS_SQL % "source = 'curated'" + "SELECT * FROM c")
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     got = wide.gtf_wide(load(spark, d, "gtf").where(F.col("source") == "curated"))
     return wide.cells(got, "record_id", list(wide.GTF_COLUMNS))
 
 
-@R.add("p4_wide", _CELLS % "true" + f"SELECT g.record_id, {_WIDE} FROM gtf g LEFT JOIN c ON g.record_id = c.record_id GROUP BY g.record_id")
+@R.add("p4_wide", CELLS_SQL % "true" + f"SELECT g.record_id, {_WIDE} FROM gtf g LEFT JOIN c ON g.record_id = c.record_id GROUP BY g.record_id")
 def p4_wide(spark: SparkSession, d: str) -> DataFrame:
     return wide.gtf_wide(load(spark, d, "gtf"))
 

@@ -7,32 +7,29 @@ from pyspark.sql import functions as F
 
 from spanweave.functions import blocks as bl
 from spanweave.functions import sequence as sq
+from spanweave.functions.attributes import with_attributes
 from spanweave.operators import annotate as an
 from spanweave.operators import features as ft
 from spanweave.operators import packed
 from spanweave.operators import reads as rd
 from spanweave.operators import signal as sg
+from spanweave.plans.prepare import CELLS_SQL
 from spanweave.plans.registry import Registry
 from spanweave.runtime import load
 
 R = Registry()
 
 
-def _one(key: str) -> str:
-    return rf"""(?i)(?:^|;)\s*{key}(?:\s*=\s*|\s+)["']?([^\s;"']+)"""
-
-
-_IDS = {"gene_id": "gene_id", "transcript_id": "transcript_id", "gene_name": "gene_name", "gene_type": "gene_(?:type|biotype)", "transcript_type": "transcript_(?:type|biotype)"}
+_NAMES = ["gene_id", "transcript_id", "gene_name", "gene_type", "transcript_type"]
 
 
 def gtf(spark: SparkSession, d: str) -> DataFrame:
-    g = load(spark, d, "gtf").withColumnRenamed("seqname", "chrom")
-    ids = {k: F.nullif(F.regexp_extract("attributes", _one(p), 1), F.lit("")) for k, p in _IDS.items()}
-    return g.select("record_id", "chrom", "feature", "start", "end", "strand", *[c.alias(k) for k, c in ids.items()], F.lit(None).cast("string").alias("transcript_name"))
+    g = with_attributes(load(spark, d, "gtf").withColumnRenamed("seqname", "chrom"), _NAMES)
+    return g.select("record_id", "chrom", "feature", "start", "end", "strand", *_NAMES, F.lit(None).cast("string").alias("transcript_name"))
 
 
-_RX = ", ".join("nullif(regexp_extract(attributes, '" + _one(p).replace("'", "''") + f"', 1), '') AS {k}" for k, p in _IDS.items())
-_G = f"""g AS (SELECT record_id, seqname AS chrom, feature, start, "end", strand, {_RX} FROM gtf),"""
+_G = f"""ids AS ({CELLS_SQL % "true"} SELECT record_id, {", ".join(f"max(CASE WHEN col_name = '{c}' THEN cell END) AS {c}" for c in _NAMES)} FROM c GROUP BY record_id),
+g AS (SELECT gtf.record_id, seqname AS chrom, feature, start, "end", strand, {", ".join(_NAMES)} FROM gtf LEFT JOIN ids ON gtf.record_id = ids.record_id),"""
 _TX = (
     _G
     + """gt AS (SELECT gene_id, arg_min(gene_type, record_id) AS gt FROM g WHERE feature = 'gene' AND gene_id IS NOT NULL GROUP BY gene_id),

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanweave.functions.attributes import attribute_map
 from spanweave.functions.blocks import bed12_blocks
 
 Paths = str | list[str]
@@ -38,24 +39,9 @@ def stream_of(spark: SparkSession, kind: str, source: Paths | list[str]) -> Data
 
 
 # ---- GTF ----
-_ATTRIBUTE = r'([^\s;"]+) (?:"([^"]*)"|([^";]+))\s*(?:;|$)'
-
-
-def attribute_map(attributes: Column) -> Column:
-    """MAP of attributes; values of a repeated key joined by commas. Bare values end at the next semicolon."""
-    form = F.lit(_ATTRIBUTE)
-    keys = F.regexp_extract_all(attributes, form, 1)
-    values = F.zip_with(F.regexp_extract_all(attributes, form, 2), F.regexp_extract_all(attributes, form, 3), lambda a, b: F.when(a != "", a).otherwise(F.trim(b)))
-    pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
-    one = F.transform(F.array_distinct(keys), lambda k: F.struct(k.alias("k"), F.array_join(F.transform(F.filter(pairs, lambda p: p["k"] == k), lambda p: p["v"]), ",").alias("v")))
-    return F.map_from_entries(one)
-
-
 def attribute(attributes: Column, name: str) -> Column:
-    """One attribute, several values joined by commas, null where it is absent. ``name`` is a plain key."""
-    form = rf'(?:^|;)\s*{name} (?:"([^"]*)"|([^";]+))'
-    a, b = F.regexp_extract_all(attributes, F.lit(form), 1), F.regexp_extract_all(attributes, F.lit(form), 2)
-    return F.nullif(F.array_join(F.zip_with(a, b, lambda x, y: F.when(x != "", x).otherwise(F.trim(y))), ","), F.lit(""))
+    """One attribute as written, several values joined by commas, null where it is absent or empty."""
+    return F.nullif(attribute_map(attributes)[name], F.lit(""))
 
 
 def getters(attrs: Column) -> dict[str, Column]:
