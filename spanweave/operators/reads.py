@@ -91,20 +91,25 @@ def length_histogram(df: DataFrame, length: Column) -> DataFrame:
     return df.select(length.alias("length")).where("length IS NOT NULL").groupBy("length").agg(F.count("*").alias("n"))
 
 
-def strand_inference(reads: DataFrame, genes: DataFrame, sample: int | None = None, order: str | None = None) -> DataFrame:
-    """One row: fractions of the two strand rules and of reads that tell nothing.
+def read_strandness(reads: DataFrame, genes: DataFrame) -> DataFrame:
+    """Id, mate, strand, ``gene`` (strands of the genes that the read meets, joined by ``:``) and ``kind`` (sense, antisense, undecided) of each read that meets a gene.
 
-    ``reads``: chrom, start, end, strand, mate (0, 1, 2) and a unique ``id``; a read over genes of both strands counts as undecided.
-    ``sample`` takes the first reads by ``order``.
+    ``reads``: chrom, start, end, strand, mate (0, 1, 2) and a unique ``id``; a read over genes of both strands is undecided.
     """
-    if sample is not None:
-        reads = reads.orderBy(order or "id").limit(sample)
     hits = overlap_join(reads, genes.select("chrom", "start", "end", "strand"), ["chrom"]).groupBy("id", "mate", "strand").agg(F.array_join(F.array_sort(F.collect_set("strand_b")), ":").alias("gene"))
     code = F.concat(F.when(F.col("mate") > 0, F.col("mate").cast("string")).otherwise(""), "strand", "gene")
     same = code.isin("1++", "1--", "2+-", "2-+", "++", "--")
     other = code.isin("1+-", "1-+", "2++", "2--", "+-", "-+")
+    return hits.withColumn("kind", F.when(same, "sense").when(other, "antisense").otherwise("undecided"))
+
+
+def strand_inference(reads: DataFrame, genes: DataFrame, sample: int | None = None, order: str = "id") -> DataFrame:
+    """One row: how many reads meet a gene, and the fractions of the two strand rules and of reads that tell nothing. ``sample`` takes the first such reads by ``id``."""
+    hits = read_strandness(reads, genes)
+    if sample is not None:
+        hits = hits.orderBy(order).limit(sample)  # a top-k of short rows
     n = F.count("*")
-    return hits.agg(n.alias("n"), (F.count_if(same) / n).alias("sense"), (F.count_if(other) / n).alias("antisense"), (F.count_if(~same & ~other) / n).alias("undecided"))
+    return hits.agg(n.alias("n"), *[(F.count_if(F.col("kind") == k) / n).alias(k) for k in ("sense", "antisense", "undecided")])
 
 
 def dedup_sequences(df: DataFrame, by: list[str], order: str = "_pos", min_length: int | None = None, sequences: list[str] | None = None) -> DataFrame:
@@ -170,16 +175,16 @@ def to_fastx(df: DataFrame) -> DataFrame:
 
 
 def containment(a: DataFrame, b: DataFrame, k: int = 16, key: str = "id", sequence: str = "sequence") -> DataFrame:
-    """Pairs where the sequence of b lies in that of a, by the first ``k`` letters of b among the k-letter words of a; sequences of b shorter than ``k`` are compared with every a."""
-    word = F.substring("sequence_b", 1, k)
+    """Pairs where the sequence of b lies in that of a. The first ``k`` letters of b, or all of a shorter one, are looked up among the words of a of the same lengths (``k`` at the most)."""
     bb = b.select(F.col(key).alias("id_b"), F.col(sequence).alias("sequence_b")).where("sequence_b IS NOT NULL AND sequence_b <> ''")
-    aa = a.select(F.col(key).alias("id_a"), F.col(sequence).alias("sequence_a")).where("sequence_a IS NOT NULL")
-    starts = F.sequence(F.lit(1), F.length("sequence_a") - k + 1)
-    words = aa.where(F.length("sequence_a") >= k).select("id_a", "sequence_a", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("sequence_a"), i, F.lit(k))))).alias("_w"))
-    long = words.join(bb.where(F.length("sequence_b") >= k).withColumn("_w", word), "_w").where(F.contains("sequence_a", "sequence_b"))
-    short = aa.join(bb.where(F.length("sequence_b") < k), F.contains("sequence_a", "sequence_b"))
-    cols = ["id_a", "id_b", "sequence_a", "sequence_b"]
-    return long.select(*cols).unionByName(short.select(*cols))
+    size = F.least(F.length("sequence_b"), F.lit(k))
+    bb = bb.withColumn("_w", F.substring(F.col("sequence_b"), F.lit(1), size))
+    sizes = bb.agg(F.coalesce(F.collect_set(size), F.array().cast("array<int>")).alias("_sizes"))
+    aa = a.select(F.col(key).alias("id_a"), F.col(sequence).alias("sequence_a")).where("sequence_a IS NOT NULL AND sequence_a <> ''").transform(attach, sizes)
+    usable = F.filter("_sizes", lambda n: n <= F.length("sequence_a"))
+    words = F.flatten(F.transform(usable, lambda n: F.transform(F.sequence(F.lit(1), F.length("sequence_a") - n + 1), lambda i: F.substring(F.col("sequence_a"), i, n))))
+    words = aa.select("id_a", "sequence_a", F.explode(F.array_distinct(words)).alias("_w"))
+    return words.join(bb, "_w").where(F.contains("sequence_a", "sequence_b")).select("id_a", "id_b", "sequence_a", "sequence_b")
 
 
 def isoforms(pairs: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Binary sources: BAM (S19) and bigWig (S25) as Python data sources with the standard library only.
+"""Binary sources: BAM (S19, K9) and bigWig (S25) as Python data sources. Paths may be local or of any file system that Arrow knows (hdfs, s3, ...).
 
 ``spark.dataSource.register(BamSource)``, then ``spark.read.format("spanweave_bam").load(path)``; ``spanweave_bigwig`` likewise. A BAM file is one partition per file (its records have no
 split marks without an index); a bigWig file is one partition per leaf group of its index.
@@ -6,30 +6,57 @@ split marks without an index); a bigWig file is one partition per leaf group of
 
 from __future__ import annotations
 
-import glob
+import dataclasses
+import fnmatch
+import json
 import os
+import re
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyarrow import fs
+from pyspark.sql import DataFrame
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 _SEQ = "=ACMGRSVTWYHKDBN"
 _CIGAR = "MIDNSHP=X"
+_OPERATION = re.compile(r"(\d+)([MIDNSHP=X])")
+_WRITTEN = ("qname", "flag", "rname", "pos", "mapq", "cigar", "seq", "qual")
+_BLOCK = 60_000
+
+
+def _place(path: str) -> tuple[fs.FileSystem, str]:
+    if "://" not in path and not path.startswith("file:"):
+        path = os.path.abspath(path)
+    return fs.FileSystem.from_uri(path.replace("file:///", "/", 1) if path.startswith("file:///") else path.removeprefix("file:"))
+
+
+def _open(path: str):
+    where, at = _place(path)
+    return where.open_input_file(at)
 
 
 def _files(path: str) -> list[str]:
-    path = path.removeprefix("file://")
-    if os.path.isdir(path):
-        return sorted(p for p in glob.glob(os.path.join(path, "*")) if not os.path.basename(p).startswith(("_", ".")))
-    return sorted(glob.glob(path))
+    """The files of a folder, or those that a last part with ``*`` or ``?`` matches, or the file itself."""
+    where, at = _place(path)
+    scheme = path.partition("://")[0] + "://" if "://" in path and not path.startswith("file:") else ""
+    folder, _, last = at.rpartition("/")
+    if any(c in last for c in "*?"):
+        found = [f.path for f in where.get_file_info(fs.FileSelector(folder)) if fnmatch.fnmatch(f.base_name, last)]
+    elif where.get_file_info(at).type == fs.FileType.Directory:
+        found = [f.path for f in where.get_file_info(fs.FileSelector(at)) if f.is_file and not f.base_name.startswith(("_", "."))]
+    else:
+        found = [at]
+    return sorted(scheme + p for p in found)
 
 
 class _BgzfReader:
     """Bytes of a file of concatenated gzip members."""
 
     def __init__(self, path: str) -> None:
-        self.file, self.rest, self.inflate = open(path, "rb"), b"", zlib.decompressobj(31)  # noqa: SIM115
+        self.file, self.rest, self.inflate = _open(path), b"", zlib.decompressobj(31)
         self.raw = b""
 
     def read(self, n: int) -> bytes:
@@ -93,6 +120,9 @@ class BamSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _FileReader(self.options["path"], read_bam)
 
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _BamWriter(self.options["path"], [tuple(x) for x in json.loads(self.options["refs"])])
+
 
 class _FileReader(DataSourceReader):
     def __init__(self, path: str, read) -> None:
@@ -105,35 +135,80 @@ class _FileReader(DataSourceReader):
         yield from self.how(partition.value)
 
 
-def write_bam(path: str, refs: list[tuple[str, int]], records: list[tuple]) -> None:
-    """A BAM file of few records (qname, flag, rname, pos, mapq, cigar, seq, qual); large sets go to SAM text."""
-    ids = {n: i for i, (n, _) in enumerate(refs)}
+def _record(ids: dict[str, int], r: tuple) -> bytes:
+    """A record (qname, flag, rname, pos, mapq, cigar, seq, qual) with its size ahead."""
+    qname, flag, rname, pos, mapq, cigar, seq, qual = r
+    ops = [int(n) << 4 | _CIGAR.index(c) for n, c in _OPERATION.findall(cigar or "*")]
+    letters = "" if seq in (None, "*") else seq
+    codes = [_SEQ.index(c) for c in letters] + [0] * (len(letters) % 2)
+    packed = bytes(codes[i] << 4 | codes[i + 1] for i in range(0, len(codes), 2))
+    q = b"\xff" * len(letters) if qual in (None, "*") else bytes(ord(c) - 33 for c in qual)
+    body = struct.pack("<iiBBHHHiiii", ids.get(rname, -1), pos, len(qname) + 1, mapq, 4680, len(ops), flag, len(letters), -1, -1, 0)
+    body += qname.encode() + b"\0" + struct.pack(f"<{len(ops)}I", *ops) + packed + q
+    return struct.pack("<i", len(body)) + body
+
+
+def _write_blocks(f, parts: Iterator[bytes]) -> None:
+    """Parts as blocks of the format, one by one; the end mark after them."""
+
+    def put(block: bytes) -> None:
+        z = zlib.compressobj(6, zlib.DEFLATED, -15)
+        data = z.compress(block) + z.flush()
+        f.write(b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(data) + 25) + data + struct.pack("<II", zlib.crc32(block), len(block)))
+
+    held = b""
+    for p in parts:
+        if held and len(held) + len(p) > _BLOCK:
+            put(held)
+            held = b""
+        held += p
+        while len(held) > _BLOCK:
+            put(held[:_BLOCK])
+            held = held[_BLOCK:]
+    if held:
+        put(held)
+    f.write(bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000"))
+
+
+def bam_parts(refs: list[tuple[str, int]], records: Iterator[tuple]) -> Iterator[bytes]:
     text = "".join(f"@SQ\tSN:{n}\tLN:{k}\n" for n, k in refs).encode()
-    out = b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(refs))
-    for n, k in refs:
-        out += struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", k)
-    for qname, flag, rname, pos, mapq, cigar, seq, qual in records:
-        ops, n = [], ""
-        for c in "" if cigar == "*" else cigar:
-            if c.isdigit():
-                n += c
-            else:
-                ops.append(int(n) << 4 | _CIGAR.index(c))
-                n = ""
-        letters = "" if seq == "*" else seq
-        codes = [_SEQ.index(c) for c in letters] + [0] * (len(letters) % 2)
-        packed = bytes(codes[i] << 4 | codes[i + 1] for i in range(0, len(codes), 2))
-        q = b"\xff" * len(letters) if qual == "*" else bytes(ord(c) - 33 for c in qual)
-        body = struct.pack("<iiBBHHHiiii", ids.get(rname, -1), pos, len(qname) + 1, mapq, 4680, len(ops), flag, len(letters), -1, -1, 0)
-        body += qname.encode() + b"\0" + struct.pack(f"<{len(ops)}I", *ops) + packed + q
-        out += struct.pack("<i", len(body)) + body
-    with open(path, "wb") as f:
-        for i in range(0, len(out), 60000):
-            part = out[i : i + 60000]
-            z = zlib.compressobj(6, zlib.DEFLATED, -15)
-            data = z.compress(part) + z.flush()
-            f.write(b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(data) + 25) + data + struct.pack("<II", zlib.crc32(part), len(part)))
-        f.write(bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000"))
+    head = b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(refs))
+    yield head + b"".join(struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", k) for n, k in refs)
+    ids = {n: i for i, (n, _) in enumerate(refs)}
+    for r in records:
+        yield _record(ids, r)
+
+
+class _BamWriter(DataSourceWriter):
+    """A file per task, named by an id of its own; files of failed tasks and jobs are removed."""
+
+    def __init__(self, path: str, refs: list[tuple[str, int]]) -> None:
+        self.path, self.refs = path, refs
+
+    def write(self, iterator) -> WriterCommitMessage:
+        where, at = _place(self.path)
+        where.create_dir(at, recursive=True)
+        name = f"{at}/part-{uuid.uuid4().hex}.bam"
+        with where.open_output_stream(name) as f:
+            _write_blocks(f, bam_parts(self.refs, (tuple(r[c] for c in _WRITTEN) for r in iterator)))
+        return _Written(name)
+
+    def abort(self, messages) -> None:
+        where, _ = _place(self.path)
+        for m in messages:
+            if m is not None:
+                where.delete_file(m.name)
+
+
+@dataclasses.dataclass
+class _Written(WriterCommitMessage):
+    name: str
+
+
+def write_bam(df: DataFrame, path: str, refs: list[tuple[str, int]]) -> None:
+    """K9: alignments (qname, flag, rname, pos, mapq, cigar, seq, qual) as a folder of BAM files, one per task, in the frame's order; ``refs`` are the references with their lengths."""
+    register(df.sparkSession)
+    df.select(*_WRITTEN).write.format("spanweave_bam").option("refs", json.dumps(refs)).mode("append").save(path)
 
 
 # ---- bigWig ----
@@ -171,7 +246,7 @@ def _bw_chroms(f) -> tuple[str, dict[int, tuple[str, int]], int, bool]:
 
 def _bw_blocks(path: str) -> list[tuple[int, int]]:
     """(offset, size) of the data blocks."""
-    with open(path, "rb") as f:
+    with _open(path) as f:
         e, _, index, _ = _bw_chroms(f)
         f.seek(index)
         if struct.unpack(e + "I", f.read(4))[0] != _INDEX:
@@ -192,7 +267,7 @@ def _bw_blocks(path: str) -> list[tuple[int, int]]:
 def read_bigwig_blocks(path: str, blocks: list[tuple[int, int]]) -> Iterator[tuple]:
     """sample, chrom, start, end, value of the rows in some blocks."""
     sample = os.path.basename(path).split(".")[0]
-    with open(path, "rb") as f:
+    with _open(path) as f:
         e, chroms, _, zipped = _bw_chroms(f)
         for offset, size in blocks:
             f.seek(offset)
@@ -243,7 +318,7 @@ class _BigWigReader(DataSourceReader):
 
 def bigwig_chroms(path: str) -> dict[str, int]:
     """S25 ``dchroms``."""
-    with open(path, "rb") as f:
+    with _open(path) as f:
         return dict(_bw_chroms(f)[1].values())
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -114,13 +114,13 @@ def fasta(spark: SparkSession, paths: Paths) -> DataFrame:
 def fastq(spark: SparkSession, paths: Paths) -> DataFrame:
     """(path, _pos, name, comment, sequence, quality) of four-line records; ``_pos`` counts the records of each file.
 
-    Lines are numbered within their file through the partitions' order; files are read whole by one task each if gzipped, else in splits.
+    A split's lines come in order within one task, so a line's place is its place in the split plus the lines of the file's earlier splits, one short row each.
     """
-    text = lines(spark, paths, whole=True)
-    numbered = text.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF("path string, value string, _n bigint")
-    first = numbered.groupBy("path").agg(F.min("_n").alias("_first"))
-    rows = numbered.join(F.broadcast(first), "path").withColumn("_n", F.col("_n") - F.col("_first")).drop("_first")
-    rows = rows.withColumn("_pos", F.expr("_n div 4")).withColumn("_k", F.col("_n") % 4)
+    text = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_split"), F.regexp_replace("value", r"[\r\n]+\z", "").alias("value"), F.monotonically_increasing_id().alias("_id"))
+    splits = text.groupBy("path", "_split").agg(F.min("_id").alias("_first"), F.count("*").alias("_lines"))
+    ahead = F.sum("_lines").over(Window.partitionBy("path").orderBy("_split")) - F.col("_lines")  # a row per split of a file
+    rows = text.join(splits.withColumn("_ahead", ahead).drop("_lines"), ["path", "_split"]).withColumn("_n", F.col("_id") - F.col("_first") + F.col("_ahead"))
+    rows = rows.select("path", "value", F.expr("_n div 4").alias("_pos"), (F.col("_n") % 4).alias("_k"))
     rec = rows.groupBy("path", "_pos").agg(*[F.max(F.when(F.col("_k") == k, F.col("value"))).alias(f"l{k}") for k in (0, 1, 3)]).where("l1 IS NOT NULL")
     head = F.split(F.regexp_replace("l0", "^@", ""), r"\s+", 2)
     return rec.select("path", "_pos", F.get(head, F.lit(0)).alias("name"), F.get(head, F.lit(1)).alias("comment"), F.col("l1").alias("sequence"), F.col("l3").alias("quality"))

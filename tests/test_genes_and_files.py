@@ -142,8 +142,8 @@ RECORDS = [("q1", 99, "c1", 5, 60, "4M", "ACGT", "IIII"), ("q1", 147, "c1", 20,
 
 
 def test_bam_round_trip(spark, tmp_path):
-    binary.write_bam(str(tmp_path / "a.bam"), [("c1", 100), ("c2", 50)], RECORDS)
-    binary.register(spark)
+    rows = spark.createDataFrame(RECORDS, "qname string, flag int, rname string, pos bigint, mapq int, cigar string, seq string, qual string").coalesce(1)
+    binary.write_bam(rows, str(tmp_path / "a.bam"), [("c1", 100), ("c2", 50)])
     df = spark.read.format("spanweave_bam").load(str(tmp_path / "a.bam"))
     assert sorted(tuple(r)[1:] for r in df.collect()) == sorted(RECORDS)
     assert rd.bam_type(df).first()[0] == "PE"
