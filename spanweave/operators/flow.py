@@ -6,11 +6,14 @@ global single-task window: rows are range-partitioned by the order column, and p
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from spanweave.runtime import attach, cut
 
@@ -187,19 +190,38 @@ def groupby2_end(df: DataFrame, together: Callable[[Column, Column], Column], va
     return runs.groupBy("run").agg(_in_order(order, value).alias("values"))
 
 
-def groupby2_start(df: DataFrame, together: Callable[[Column, Column], Column], value: str, order: str, by: list[str]) -> DataFrame:
-    """D23, ``start``: a row joins while ``together(first value of the group, value)`` holds. Greedy by nature, so per group of ``by``, whose rows meet as an array."""
-    items = _in_order(order, value)
-
-    def step(acc: Column, v: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        fits = (F.size(acc) > 0) & _true(together(F.get(last, F.lit(0)), v))
-        grown = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.array_append(last, v)))
-        return F.when(fits, grown).otherwise(F.array_append(acc, F.array(v)))
-
-    none = F.filter(F.array(F.col("_items")), lambda x: F.lit(False))
-    lists = df.groupBy(*by).agg(items.alias("_items"))
-    return lists.select(*by, F.posexplode(F.aggregate("_items", none, step)).alias("group", "values"))
+def groupby2_start(df: DataFrame, together: Callable[[object, object], bool], value: str, order: str, by: list[str]) -> DataFrame:
+    """D23, ``start``: (by, group, values): a row joins while ``together(first value of the group, value)`` holds; a null value joins nothing and is joined by none.
+
+    Greedy by nature, so the rows of one key pass through one task, in order and one at a time; only the open group is held. ``together`` takes plain values.
+    """
+    kind = df.schema[value].dataType
+    schema = T.StructType([*[df.schema[c] for c in by], T.StructField("group", T.IntegerType()), T.StructField("values", T.ArrayType(kind))])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: tuple | None = None
+        group, values = 0, []
+        out: list[tuple] = []
+        for b in batches:
+            columns = [c.to_pylist() for c in b.columns]
+            for *k, v in zip(*columns):
+                k = tuple(k)
+                if key == k and v is not None and values[0] is not None and together(values[0], v):
+                    values.append(v)
+                    continue
+                if key is not None:
+                    out.append((*key, group, values))
+                key, group, values = k, group + 1 if key == k else 0, [v]
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), arrow)], schema=arrow)
+                out = []
+        if key is not None:
+            out.append((*key, group, values))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), arrow)], schema=arrow)
+
+    return df.repartition(*by).sortWithinPartitions(*by, order).select(*by, value).mapInArrow(run, schema)
 
 
 def sort(df: DataFrame, key: list[str], order: str, reverse: bool = False) -> DataFrame:

@@ -53,14 +53,14 @@ def p1_bed12_loaded(spark: SparkSession, d: str) -> DataFrame:
     return badrows.sound_records(load(spark, d, "raw_lines"), "bed12")
 
 
-_PIECES = r"""WITH f AS (SELECT bed_id, 'blockSizes' AS field_name, "blockSizes" AS t FROM bed12 UNION ALL SELECT bed_id, 'blockStarts', "blockStarts" FROM bed12),
+PIECES_SQL = r"""WITH f AS (SELECT bed_id, 'blockSizes' AS field_name, "blockSizes" AS t FROM bed12 UNION ALL SELECT bed_id, 'blockStarts', "blockStarts" FROM bed12),
 g AS (SELECT bed_id, field_name, regexp_replace(regexp_replace(t, '["'']', '', 'g'), '[\s\x{00a0}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]+', ' ', 'g') AS t FROM f),
 h AS (SELECT bed_id, field_name, regexp_replace(regexp_replace(trim(t), ' ?[,;:|/，] ?', ',', 'g'), ' ', ',', 'g') AS t FROM g WHERE t <> ''),
 s AS (SELECT bed_id, field_name, string_split(t, ',') AS a FROM h),
 u AS (SELECT bed_id, field_name, unnest(a) AS v, unnest(range(len(a))) AS pos FROM s) """
 
 
-@R.add("p2_found", _PIECES + "SELECT bed_id, field_name, pos, v::BIGINT AS val FROM u WHERE regexp_full_match(v, '[+-]?[0-9]+')")
+@R.add("p2_found", PIECES_SQL + "SELECT bed_id, field_name, pos, v::BIGINT AS val FROM u WHERE regexp_full_match(v, '[+-]?[0-9]+')")
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return packed.block_list(load(spark, d, "bed12"))
 
@@ -128,7 +128,7 @@ def p4_wide(spark: SparkSession, d: str) -> DataFrame:
     return wide.gtf_wide(load(spark, d, "gtf"))
 
 
-_RUNS = """WITH i AS (SELECT DISTINCT chrom, strand, start AS s, "end" AS e FROM bed6 WHERE chrom IS NOT NULL AND "end" > start AND strand IN ('+', '-')),
+RUNS_SQL = """WITH i AS (SELECT DISTINCT chrom, strand, start AS s, "end" AS e FROM bed6 WHERE chrom IS NOT NULL AND "end" > start AND strand IN ('+', '-')),
 m AS (SELECT *, max(e) OVER (PARTITION BY chrom, strand ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i),
 r AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY chrom, strand ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS run FROM m),
 x AS (SELECT chrom, strand, min(s) AS span_start, max(e) AS span_end FROM r GROUP BY chrom, strand, run),
@@ -137,7 +137,7 @@ g AS (SELECT chrom, strand, span_end AS span_start, lead(span_start) OVER (PARTI
 
 @R.add(
     "p5_found",
-    _RUNS + f"""SELECT 'merged' AS kind, chrom, strand, span_start, span_end FROM x
+    RUNS_SQL + f"""SELECT 'merged' AS kind, chrom, strand, span_start, span_end FROM x
 UNION ALL SELECT 'gap', chrom, strand, span_start, span_end FROM g WHERE span_end - span_start <= {GAP_AT_MOST}""",
 )
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

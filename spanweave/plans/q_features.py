@@ -13,7 +13,7 @@ from spanweave.operators import features as ft
 from spanweave.operators import packed
 from spanweave.operators import reads as rd
 from spanweave.operators import signal as sg
-from spanweave.plans.prepare import CELLS_SQL
+from spanweave.plans.prepare import CELLS_SQL, PIECES_SQL
 from spanweave.plans.registry import Registry
 from spanweave.runtime import load
 
@@ -212,9 +212,13 @@ def annotate_primary(spark: SparkSession, d: str) -> DataFrame:
     return an.annotate(*_annotation(spark, d)).select("id", "anno", "ids", "names")
 
 
-@R.add("annotate_peaks")
+_PEAK = f"[{', '.join(f"'{x}'" for x in an.PEAK_PRIORITY)}]"
+
+
+@R.add("annotate_peaks", f"""WITH {_ANN.replace("[" + ", ".join(f"'{x}'" for x in an.PRIORITY) + "]", _PEAK)}, s AS (SELECT id, list_filter({_PEAK}, lambda p: list_contains(list(prim), p))[1] AS anno FROM be WHERE tier = best GROUP BY id)
+SELECT b.id, coalesce(anno, 'Intergenic') AS anno FROM b LEFT JOIN s ON b.id = s.id""")
 def annotate_peaks(spark: SparkSession, d: str) -> DataFrame:
-    return an.annotate(*_annotation(spark, d), priority=an.PEAK_PRIORITY).groupBy("anno").agg(F.count("*").alias("n"))
+    return an.annotate(*_annotation(spark, d), priority=an.PEAK_PRIORITY).select("id", "anno")
 
 
 # signal tracks: the depth of bed6 by strand; regions: transcripts
@@ -255,23 +259,20 @@ def signal_scale_region(spark: SparkSession, d: str) -> DataFrame:
     return sg.scale_region(_regions(spark, d), _track(spark, d), 200, 10).withColumn("value", F.round("value", 6))
 
 
-_FIXED = """(re - rs) >= 500"""
-
-
-@R.add("signal_coverage_bins", _bin_sql("n // 10", 10, "1").replace("rg AS (SELECT record_id AS id, seqname AS chrom, start - 1 AS rs, \"end\" AS re", "rg AS (SELECT record_id AS id, seqname AS chrom, start - 1 AS rs, start - 1 + 500 AS re"))
+@R.add("signal_coverage_bins", f"""WITH {_TRACK}, x AS (SELECT id, sample, n, s * 10 AS s, e * 10 AS e, unnest(range(s * 10 // n, (e * 10 - 1) // n + 1)) AS bin FROM pa),
+y AS (SELECT id, sample, bin, sum(least(e, (bin + 1) * n) - greatest(s, bin * n)) / max(n) AS value FROM x GROUP BY id, sample, bin), z AS (SELECT id, sample, unnest(range(10)) AS bin FROM al)
+SELECT z.id, z.sample, z.bin, round(coalesce(value, 0), 6) AS value FROM z LEFT JOIN y ON z.id = y.id AND z.sample = y.sample AND z.bin = y.bin""")
 def signal_coverage_bins(spark: SparkSession, d: str) -> DataFrame:
     return sg.coverage_bins(_regions(spark, d), _track(spark, d), 10, fractional=True).withColumn("value", F.round("value", 6))
 
 
-@R.add("signal_sliding", f"""WITH {_TRACK}, few AS (SELECT * FROM al WHERE n >= 100 AND n <= 400), ps AS (SELECT id, sample, unnest(range(n - 100 + 1)) AS pos FROM few),
-q AS (SELECT ps.id, ps.sample, pos, sum(greatest(least(e, pos + 100) - greatest(s, pos), 0)) AS k FROM ps JOIN pa ON ps.id = pa.id AND ps.sample = pa.sample GROUP BY 1, 2, 3)
-SELECT ps.id, ps.sample, ps.pos, coalesce(k, 0) / 100 AS value FROM ps LEFT JOIN q ON ps.id = q.id AND ps.sample = q.sample AND ps.pos = q.pos""")
+# bases x samples of whole regions: too many rows for the SQL check, compared with brute force in tests/test_whole.py
+@R.add("signal_sliding")
 def signal_sliding(spark: SparkSession, d: str) -> DataFrame:
     return sg.sliding_coverage(_regions(spark, d), _track(spark, d), 100)
 
 
-@R.add("signal_values", f"""WITH {_TRACK}, ps AS (SELECT id, sample, unnest(range(n)) AS pos FROM al WHERE n <= 400) SELECT ps.id, ps.sample, ps.pos, coalesce(v, 0)::DOUBLE AS value
-FROM ps LEFT JOIN pa ON ps.id = pa.id AND ps.sample = pa.sample AND ps.pos >= s AND ps.pos < e""")
+@R.add("signal_values")
 def signal_values(spark: SparkSession, d: str) -> DataFrame:
     return sg.values(_regions(spark, d), _track(spark, d))
 
@@ -289,14 +290,20 @@ def profile_tss(spark: SparkSession, d: str) -> DataFrame:
     return sg.reference_point(_regions(spark, d), _track(spark, d), "TSS", "reads", 2000, 1000, 10).withColumn("value", F.round("value", 6))
 
 
-@R.add("profile_coverage")
+@R.add("profile_coverage", f"""WITH {_TRACK}, wi AS (SELECT id, chrom, strand, CASE WHEN strand = '-' THEN rs ELSE re END - 100 AS rs FROM rg),
+q AS (SELECT sample, CASE WHEN strand = '-' THEN 190 - k ELSE k END AS bin, sum(least(e, rs + k + 10) - greatest(s, rs + k)) AS n
+ FROM wi JOIN tr ON wi.chrom = tr.chrom AND e > rs AND s < rs + 200, (SELECT unnest(range(191)) AS k) WHERE s < rs + k + 10 AND e > rs + k GROUP BY 1, 2),
+z AS (SELECT sample, unnest(range(191)) AS bin FROM (SELECT DISTINCT sample FROM tr)) SELECT z.sample, z.bin, round(coalesce(n, 0) / 10 / (SELECT count(*) FROM rg), 6) AS value FROM z LEFT JOIN q ON z.sample = q.sample AND z.bin = q.bin""")
 def profile_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return sg.reference_point(_regions(spark, d), _track(spark, d), "TES", "coverage", 100, 100, 10)
+    return sg.reference_point(_regions(spark, d), _track(spark, d), "TES", "coverage", 100, 100, 10).withColumn("value", F.round("value", 6))
 
 
-@R.add("profile_signal_point")
+@R.add("profile_signal_point", f"""WITH {_TRACK}, wi AS (SELECT id, chrom, strand, CASE WHEN strand = '-' THEN re ELSE rs END - 100 AS rs FROM rg),
+q AS (SELECT sample, CASE WHEN strand = '-' THEN 199 - k ELSE k END AS bin, sum(v) AS n
+ FROM wi JOIN tr ON wi.chrom = tr.chrom AND e > rs AND s < rs + 200, (SELECT unnest(range(200)) AS k) WHERE s <= rs + k AND e > rs + k GROUP BY 1, 2),
+z AS (SELECT sample, unnest(range(200)) AS bin FROM (SELECT DISTINCT sample FROM tr)) SELECT z.sample, z.bin, round(coalesce(n, 0) / (SELECT count(*) FROM rg), 6) AS value FROM z LEFT JOIN q ON z.sample = q.sample AND z.bin = q.bin""")
 def profile_signal_point(spark: SparkSession, d: str) -> DataFrame:
-    return sg.signal_point(_regions(spark, d), _track(spark, d), "TSS", 100, 100)
+    return sg.signal_point(_regions(spark, d), _track(spark, d), "TSS", 100, 100).withColumn("value", F.round("value", 6))
 
 
 @R.add("profile_body")
@@ -348,11 +355,6 @@ def length_histogram(spark: SparkSession, d: str) -> DataFrame:
     return rd.length_histogram(_seq(spark, d), F.length("t"))
 
 
-@R.add("wrap_lines", r"SELECT transcript_id || '' AS k, count(*) AS n FROM trans_info WHERE transcript_id IS NOT NULL GROUP BY 1")
-def wrap_lines(spark: SparkSession, d: str) -> DataFrame:
-    t = load(spark, d, "trans_info").where("transcript_id IS NOT NULL")
-    return t.select(F.regexp_replace(sq.wrap(F.col("transcript_id"), 5), "\n", "").alias("k")).groupBy("k").agg(F.count("*").alias("n"))
-
 
 @R.add("dedup_sequences", "SELECT doc_id, length(text)::INTEGER AS n FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k FROM documents) WHERE k = 1 AND length(text) >= 15")
 def dedup_sequences(spark: SparkSession, d: str) -> DataFrame:
@@ -420,8 +422,11 @@ def strand_inference(spark: SparkSession, d: str) -> DataFrame:
     return out.select("n", *[F.round(c, 8).alias(c) for c in ("sense", "antisense", "undecided")])
 
 
-@R.add("bed12_exons", """WITH c AS (SELECT bed_id, start, string_split(rtrim("blockSizes", ','), ',') AS n, string_split(rtrim("blockStarts", ','), ',') AS s FROM bed12 WHERE regexp_full_match("blockSizes", '([0-9]+,)+') AND regexp_full_match("blockStarts", '([0-9]+,)+')),
-u AS (SELECT bed_id, start + unnest(s)::BIGINT AS s, unnest(n)::BIGINT AS n FROM c WHERE len(s) = len(n)) SELECT bed_id, string_agg(s || '-' || (s + n), ',' ORDER BY s, n) AS exons FROM u GROUP BY bed_id""")
+@R.add("bed12_exons", PIECES_SQL.replace("' ', ',', 'g') AS t FROM g", "' ', ',', 'g') AS t0 FROM g").replace("s AS (SELECT bed_id", "h2 AS (SELECT bed_id, field_name, regexp_replace(t0, ',$', '') AS t FROM h), s AS (SELECT bed_id").replace("AS a FROM h)", "AS a FROM h2)")
+    + """, k AS (SELECT bed_id, list(v ORDER BY pos) FILTER (WHERE field_name = 'blockSizes') AS n, list(v ORDER BY pos) FILTER (WHERE field_name = 'blockStarts') AS s FROM u GROUP BY bed_id),
+ok AS (SELECT * FROM k WHERE len(n) = len(s) AND len(list_filter(list_concat(n, s), lambda x: NOT regexp_full_match(x, '[+-]?[0-9]+'))) = 0),
+e AS (SELECT ok.bed_id, b.start + unnest(s)::BIGINT AS s, unnest(n)::BIGINT AS n FROM ok JOIN bed12 b ON b.bed_id = ok.bed_id), x AS (SELECT bed_id, string_agg(s || '-' || (s + n), ',' ORDER BY s, n) AS exons FROM e GROUP BY bed_id)
+SELECT bed12.bed_id, exons FROM bed12 LEFT JOIN x ON bed12.bed_id = x.bed_id""")
 def bed12_exons(spark: SparkSession, d: str) -> DataFrame:
     return packed.block_pairs(load(spark, d, "bed12")).select("bed_id", _text("blocks").alias("exons"))
 
@@ -455,7 +460,8 @@ def reverse_records(spark: SparkSession, d: str) -> DataFrame:
     return rd.reverse_records(_seq(spark, d).select("doc_id", F.replace(sq.to_dna(F.col("t")), F.lit("Z"), F.lit("")).alias("sequence"), sq.to_dna(F.col("t")).alias("quality")))
 
 
-@R.add("merge_subsequences")
+@R.add("merge_subsequences", """WITH g AS (SELECT DISTINCT gene_name AS s FROM trans_info WHERE gene_name <> '') SELECT a.s AS id, a.s AS sequence, string_agg(b.s, ';' ORDER BY b.s) AS names
+FROM g a JOIN g b ON contains(a.s, b.s) WHERE NOT EXISTS (SELECT 1 FROM g c WHERE contains(c.s, a.s) AND c.s <> a.s) GROUP BY a.s""")
 def merge_subsequences(spark: SparkSession, d: str) -> DataFrame:
     g = load(spark, d, "trans_info").where("gene_name IS NOT NULL").select(F.col("gene_name").alias("id"), F.col("gene_name").alias("sequence")).distinct()
     return rd.merge_subsequences(g, 4)
@@ -472,10 +478,3 @@ def random_regions(spark: SparkSession, d: str) -> DataFrame:
     return rd.random_regions(sizes, 1000)
 
 
-_CIG = ["5S10M2I3D4N6M", "10M", "4=2X3I5M", "3H7M2P8M1000N20M"]
-
-
-@R.add("cigar_blocks", "SELECT * FROM (VALUES (0, '100-113,117-123'), (1, '100-110'), (2, '100-111'), (3, '100-107,109-117,1117-1137')) v(i, blocks)")
-def cigar_blocks(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(_CIG)), "i int, cigar string")
-    return rows.withColumn("blocks", bl.cigar_blocks(F.lit(100), bl.cigar_tuples(F.col("cigar")))).select("i", _text("blocks"))

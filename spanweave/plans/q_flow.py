@@ -54,7 +54,14 @@ _add(
     _RUN.format("n > 1 AND value - pv < 20", "", "").replace("list(event_id ORDER BY event_id)", "list(value ORDER BY event_id)"),
     lambda e: flow.groupby2_end(e, lambda a, b: b - a < 20, "value", "event_id"),
 )
-_add("flow_groupby2_start", None, lambda e: flow.groupby2_start(e, lambda a, b: b - a < 20, "value", "event_id", ["user_id"]))
+_add(
+    "flow_groupby2_start",
+    """WITH RECURSIVE e AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+g AS (SELECT user_id, i, value, value AS first, 0 AS "group" FROM e WHERE i = 1
+ UNION ALL SELECT e.user_id, e.i, e.value, CASE WHEN e.value - g.first < 20 THEN g.first ELSE e.value END, CASE WHEN e.value - g.first < 20 THEN "group" ELSE "group" + 1 END FROM g JOIN e ON e.user_id = g.user_id AND e.i = g.i + 1)
+SELECT user_id, "group", list(value ORDER BY i) AS "values" FROM g GROUP BY ALL""",
+    lambda e: flow.groupby2_start(e, lambda a, b: b - a < 20, "value", "event_id", ["user_id"]),
+)
 _add("flow_sort", f"SELECT {_C} FROM events ORDER BY value DESC, event_id", lambda e: flow.sort(e, ["value"], "event_id", True))
 _add("flow_reverse", f"SELECT {_C} FROM events ORDER BY event_id DESC", lambda e: flow.reverse(e, "event_id"))
 _add(
@@ -78,7 +85,7 @@ FROM n h JOIN n x ON x.n BETWEEN h.n - 1 AND h.n + 1 WHERE h.value > 95""",
 _add("flow_flatten", "SELECT event_id, unnest([user_id, event_id]) AS v FROM events", lambda e: flow.flatten(e.select("event_id", F.array(F.array("user_id"), F.array("event_id")).alias("v")), "v", 2))
 _add(
     "flow_concat",
-    "SELECT event_id, user_id FROM events WHERE event_id <= 50 UNION ALL SELECT event_id - (SELECT min(event_id) FROM events WHERE event_id > 900) + (SELECT max(event_id) FROM events WHERE event_id <= 50) + 1, user_id FROM events WHERE event_id > 900",
+    "SELECT event_id, user_id FROM events UNION ALL SELECT event_id - (SELECT min(event_id) FROM events) + (SELECT max(event_id) FROM events) + 1, user_id FROM events",
     lambda e: flow.concat(e.select("event_id", "user_id"), e.select("event_id", "user_id"), "event_id"),
 )
 _add("flow_nothing", f"SELECT {_C} FROM events", flow.nothing)
