@@ -1,7 +1,8 @@
 """Problem 1: lines that do not become records, set apart with their reason while the sound ones load.
 
-Every line is read permissively under an explicit schema that keeps the corrupt raw text; what the reader
-could not place, and what it placed but no column check accepts, is then classed by column count, quoting and casts.
+Every line is read permissively under an explicit typed schema, ``.`` being null, that keeps the raw text of what the reader cannot place: a wrong number of
+columns, or a value that its type does not hold. These lines are reclassified by column count, quoting and casts. Of the placed ones only what the reader cannot judge is checked: the
+quoting inside the attributes, and spellings of scores that its casts take but the formats do not.
 
 Defined results: a null line, an empty one and one that starts with ``#`` is neither record nor case; one trailing carriage
 return is no part of a line; repeated lines are judged one by one; an unknown or null kind is left out; further columns of the
@@ -20,14 +21,14 @@ _MOST = 10_000
 
 
 def _schema(spec: str) -> T.StructType:
-    kinds = {"s": T.StringType(), "l": T.LongType(), "i": T.IntegerType()}
+    kinds = {"s": T.StringType(), "l": T.LongType(), "i": T.IntegerType(), "d": T.DoubleType()}
     return T.StructType([T.StructField(n, kinds[k]) for n, k in (x.split(":") for x in spec.split())])
 
 
 #: The columns of the two formats, in file order.
 SCHEMAS = {
-    "gtf": _schema("seqname:s source:s feature:s start:l end:l score:s strand:s frame:s attributes:s"),
-    "bed12": _schema("chrom:s start:l end:l name:s score:s strand:s thickStart:l thickEnd:l itemRgb:s blockCount:i blockSizes:s blockStarts:s"),
+    "gtf": _schema("seqname:s source:s feature:s start:l end:l score:d strand:s frame:s attributes:s"),
+    "bed12": _schema("chrom:s start:l end:l name:s score:i strand:s thickStart:l thickEnd:l itemRgb:s blockCount:i blockSizes:s blockStarts:s"),
 }
 
 _TOKEN = r'[^\s";]+'
@@ -61,7 +62,7 @@ def parse_lines(df: DataFrame, kind: str, line: str = "line", reason: str = "rea
     schema = SCHEMAS[kind]
     wide = T.StructType([*schema.fields, T.StructField(RAW, T.StringType())])
     text = F.regexp_replace(F.col(line), r"\r\z", "")
-    options = {"mode": "PERMISSIVE", "sep": "\t", "quote": "", "escape": "", "columnNameOfCorruptRecord": RAW, "maxCharsPerColumn": "-1", "maxColumns": str(2 * _MOST)}
+    options = {"mode": "PERMISSIVE", "nullValue": ".", "sep": "\t", "quote": "", "escape": "", "columnNameOfCorruptRecord": RAW, "maxCharsPerColumn": "-1", "maxColumns": str(2 * _MOST)}
     parts = F.split(F.col("_text"), "\t", -1)
     score = F.get(F.col("_parts"), F.lit(schema.fieldNames().index("score")))
     if kind == "gtf":
@@ -70,20 +71,26 @@ def parse_lines(df: DataFrame, kind: str, line: str = "line", reason: str = "rea
         quoting, value = broken & quotes_at_fault(attributes), broken | ~((score == ".") | score.rlike(NUMBER))
     else:
         quoting, value = F.lit(False), ~score.rlike(SCORE_0_1000)
+    corrupt = F.col(f"_read.{RAW}").isNotNull()
     why = (
-        F.when(F.size("_parts") != len(schema), "column_count")
+        F.when(corrupt & (F.size("_parts") != len(schema)), "column_count")
         .when(quoting, "quoting")
         .when(value, "value")
-        .when(F.col(f"_read.{RAW}").isNotNull(), "type")
+        .when(corrupt, "type")
     )
-    fields = F.struct(*[F.col(f"_read.{n}").alias(n) for n in schema.fieldNames()])
+
+    def field(i: int, f: T.StructField) -> Column:
+        read = F.col(f"_read.{f.name}")
+        return (F.coalesce(read, F.get("_parts", F.lit(i))) if isinstance(f.dataType, T.StringType) else read).alias(f.name)  # texts as they stand, dots too
+
+    fields = F.struct(*[field(i, f) for i, f in enumerate(schema)])
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wide)
     read = (
         df.select(F.struct(*df.columns).alias("_in"), text.alias("_text"))
         .where((F.col("_text") != "") & ~F.col("_text").startswith("#"))
         .withColumn("_read", F.from_csv(F.substring_index("_text", "\t", _MOST), ddl, options))
         .withColumn("_parts", parts)
-        .select("_in", "_read", why.alias("_why"))
+        .select("_in", "_read", "_parts", why.alias("_why"))
     )
     keep = [F.col(f"_in.`{c}`").alias(c) for c in df.columns if c not in (reason, record)]
     return read.select(*keep, F.col("_why").alias(reason), F.when(F.col("_why").isNull(), fields).alias(record))

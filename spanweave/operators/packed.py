@@ -27,6 +27,8 @@ SPACES = " \t\n\r\x0b\x0c\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u200
 KNOWN_NUMBERS = 10_000
 PLACE_HOLDERS = ("nil", "NA", "?", "-", ".")
 
+#: A whole number. ``-`` before nothing but zeros is the place-holder filled up with zeros, as in 0nil or 00NA.
+WHOLE = r"^(?:\+?[0-9]+|-0*[1-9][0-9]*)\z"
 _VALUE, _SEPARATOR, _QUOTE, _SPACE, _UNKNOWN = range(5)
 
 
@@ -140,7 +142,7 @@ def split_packed(df: DataFrame, key: str, fields: list[str], known: list[str] |
 def block_list(bed12: DataFrame) -> DataFrame:
     """(bed_id, field_name, pos, val): each integer of blockSizes and blockStarts; an integer beyond 64 bits gives no row."""
     got = split_packed(bed12, "bed_id", ["blockSizes", "blockStarts"])
-    return got.where(F.col("piece").rlike(r"^[+-]?[0-9]+\z")).select("bed_id", "field_name", "pos", F.expr("try_cast(piece AS BIGINT)").alias("val")).where(F.col("val").isNotNull())
+    return got.where(F.col("piece").rlike(WHOLE)).select("bed_id", "field_name", "pos", F.expr("try_cast(piece AS BIGINT)").alias("val")).where(F.col("val").isNotNull())
 
 
 def with_pieces(df: DataFrame, fields: list[str]) -> DataFrame:
@@ -162,7 +164,7 @@ def block_pairs(bed12: DataFrame) -> DataFrame:
     different numbers of pieces, where a piece is no integer, or where a bound
     has more than 64 bits."""
     cut = with_pieces(bed12.select("bed_id", "start", "blockSizes", "blockStarts"), ["blockSizes", "blockStarts"])
-    numbers = [F.transform(c, lambda x: F.when(x.rlike(r"^[+-]?[0-9]+\z"), x.try_cast("bigint"))) for c in ("blockSizes", "blockStarts")]
+    numbers = [F.transform(c, lambda x: F.when(x.rlike(WHOLE), x.try_cast("bigint"))) for c in ("blockSizes", "blockStarts")]
     cut = cut.select("bed_id", "start", numbers[0].alias("_n"), numbers[1].alias("_s"))
     whole = (F.size("_n") > 0) & (F.size("_n") == F.size("_s")) & ~F.exists("_n", lambda x: x.isNull()) & ~F.exists("_s", lambda x: x.isNull())
     first = lambda x: F.try_add(F.col("start"), x["_s"])

@@ -36,7 +36,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 @R.add(
     "p1_gtf_loaded",
     _CLASS
-    + """SELECT line_id, c[1] AS seqname, c[2] AS source, c[3] AS feature, c[4]::BIGINT AS start, c[5]::BIGINT AS "end", c[6] AS score, c[7] AS strand, c[8] AS frame,
+    + """SELECT line_id, c[1] AS seqname, c[2] AS source, c[3] AS feature, c[4]::BIGINT AS start, c[5]::BIGINT AS "end", nullif(c[6], '.')::DOUBLE AS score, c[7] AS strand, c[8] AS frame,
  c[9] AS attributes FROM w WHERE reason IS NULL AND kind = 'gtf'""",
 )
 def p1_gtf_loaded(spark: SparkSession, d: str) -> DataFrame:
@@ -46,7 +46,7 @@ def p1_gtf_loaded(spark: SparkSession, d: str) -> DataFrame:
 @R.add(
     "p1_bed12_loaded",
     _CLASS
-    + """SELECT line_id, c[1] AS chrom, c[2]::BIGINT AS start, c[3]::BIGINT AS "end", c[4] AS name, c[5] AS score, c[6] AS strand, c[7]::BIGINT AS "thickStart",
+    + """SELECT line_id, c[1] AS chrom, c[2]::BIGINT AS start, c[3]::BIGINT AS "end", c[4] AS name, c[5]::INTEGER AS score, c[6] AS strand, c[7]::BIGINT AS "thickStart",
  c[8]::BIGINT AS "thickEnd", c[9] AS "itemRgb", c[10]::INTEGER AS "blockCount", c[11] AS "blockSizes", c[12] AS "blockStarts" FROM w WHERE reason IS NULL AND kind = 'bed12'""",
 )
 def p1_bed12_loaded(spark: SparkSession, d: str) -> DataFrame:
@@ -60,7 +60,7 @@ s AS (SELECT bed_id, field_name, string_split(t, ',') AS a FROM h),
 u AS (SELECT bed_id, field_name, unnest(a) AS v, unnest(range(len(a))) AS pos FROM s) """
 
 
-@R.add("p2_found", PIECES_SQL + "SELECT bed_id, field_name, pos, v::BIGINT AS val FROM u WHERE regexp_full_match(v, '[+-]?[0-9]+')")
+@R.add("p2_found", PIECES_SQL + "SELECT bed_id, field_name, pos, v::BIGINT AS val FROM u WHERE regexp_full_match(v, '[+]?[0-9]+|-0*[1-9][0-9]*')")
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return packed.block_list(load(spark, d, "bed12"))
 

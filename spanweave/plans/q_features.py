@@ -424,33 +424,37 @@ def strand_inference(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("bed12_exons", PIECES_SQL.replace("' ', ',', 'g') AS t FROM g", "' ', ',', 'g') AS t0 FROM g").replace("s AS (SELECT bed_id", "h2 AS (SELECT bed_id, field_name, regexp_replace(t0, ',$', '') AS t FROM h), s AS (SELECT bed_id").replace("AS a FROM h)", "AS a FROM h2)")
     + """, k AS (SELECT bed_id, list(v ORDER BY pos) FILTER (WHERE field_name = 'blockSizes') AS n, list(v ORDER BY pos) FILTER (WHERE field_name = 'blockStarts') AS s FROM u GROUP BY bed_id),
-ok AS (SELECT * FROM k WHERE len(n) = len(s) AND len(list_filter(list_concat(n, s), lambda x: NOT regexp_full_match(x, '[+-]?[0-9]+'))) = 0),
+ok AS (SELECT * FROM k WHERE len(n) = len(s) AND len(list_filter(list_concat(n, s), lambda x: NOT regexp_full_match(x, '[+]?[0-9]+|-0*[1-9][0-9]*'))) = 0),
 e AS (SELECT ok.bed_id, b.start + unnest(s)::BIGINT AS s, unnest(n)::BIGINT AS n FROM ok JOIN bed12 b ON b.bed_id = ok.bed_id), x AS (SELECT bed_id, string_agg(s || '-' || (s + n), ',' ORDER BY s, n) AS exons FROM e GROUP BY bed_id)
 SELECT bed12.bed_id, exons FROM bed12 LEFT JOIN x ON bed12.bed_id = x.bed_id""")
 def bed12_exons(spark: SparkSession, d: str) -> DataFrame:
     return packed.block_pairs(load(spark, d, "bed12")).select("bed_id", _text("blocks").alias("exons"))
 
 
-@R.add("containment", "WITH g AS (SELECT DISTINCT gene_name AS s FROM trans_info WHERE gene_name IS NOT NULL AND gene_name <> '') SELECT a.s AS id_a, b.s AS id_b FROM g a, g b WHERE contains(a.s, b.s) AND a.s <> b.s")
+def _keys(spark: SparkSession, d: str, table: str, key: str) -> DataFrame:
+    """Keys as texts, which hold one another in many ways."""
+    return load(spark, d, table).select(F.col(key).cast("string").alias("id"), F.col(key).cast("string").alias("sequence"))
+
+
+@R.add("containment", "SELECT p_partkey::VARCHAR AS id_a, s_suppkey::VARCHAR AS id_b FROM part, supplier WHERE contains(p_partkey::VARCHAR, s_suppkey::VARCHAR)")
 def containment(spark: SparkSession, d: str) -> DataFrame:
-    g = load(spark, d, "trans_info").where("gene_name IS NOT NULL").select(F.col("gene_name").alias("id"), F.col("gene_name").alias("sequence")).distinct()
-    return rd.containment(g, g, 4).where("id_a <> id_b").select("id_a", "id_b")
+    return rd.containment(_keys(spark, d, "part", "p_partkey"), _keys(spark, d, "supplier", "s_suppkey"), 3).select("id_a", "id_b")
 
 
-_NAMED = "WITH g AS (SELECT DISTINCT lower(gene_name) AS s FROM trans_info WHERE gene_name IS NOT NULL AND gene_name <> ''), p AS (SELECT a.s AS id_a, b.s AS id_b, instr(a.s, b.s) - 1 AS l, length(a.s) - length(b.s) - instr(a.s, b.s) + 1 AS r FROM g a, g b WHERE contains(a.s, b.s) AND a.s <> b.s)"
+_HELD = "WITH g AS (SELECT s_suppkey::VARCHAR AS s FROM supplier), p AS (SELECT a.s AS id_a, b.s AS id_b, instr(a.s, b.s) - 1 AS l, length(a.s) - length(b.s) - instr(a.s, b.s) + 1 AS r FROM g a, g b WHERE contains(a.s, b.s) AND a.s <> b.s)"
 
 
 def _contained(spark: SparkSession, d: str) -> DataFrame:
-    g = load(spark, d, "trans_info").where("gene_name IS NOT NULL").select(F.lower("gene_name").alias("id")).distinct().withColumn("sequence", F.col("id"))
-    return rd.containment(g, g, 4).where("id_a <> id_b")
+    g = _keys(spark, d, "supplier", "s_suppkey")
+    return rd.containment(g, g, 2).where("id_a <> id_b")
 
 
-@R.add("isoforms", f"{_NAMED} SELECT id_a, id_b, CASE WHEN l > 0 AND r > 0 THEN '53' WHEN l > 0 THEN '5' WHEN r > 0 THEN '3' ELSE 'same' END AS kind, CASE WHEN l > 0 AND r > 0 THEN 'LR' WHEN l > 0 THEN 'L' WHEN r > 0 THEN 'R' ELSE '' END AS extra FROM p")
+@R.add("isoforms", f"{_HELD} SELECT id_a, id_b, CASE WHEN l > 0 AND r > 0 THEN '53' WHEN l > 0 THEN '5' WHEN r > 0 THEN '3' ELSE 'same' END AS kind, CASE WHEN l > 0 AND r > 0 THEN 'LR' WHEN l > 0 THEN 'L' WHEN r > 0 THEN 'R' ELSE '' END AS extra FROM p")
 def isoforms(spark: SparkSession, d: str) -> DataFrame:
     return rd.isoforms(_contained(spark, d)).select("id_a", "id_b", "kind", "extra")
 
 
-@R.add("containment_collapse", f"{_NAMED}, t AS (SELECT DISTINCT id_a FROM p WHERE id_a NOT IN (SELECT id_b FROM p)), d AS (SELECT t.id_a, id_b FROM t JOIN p ON t.id_a = p.id_a), e AS (SELECT id_a, id_b FROM d UNION SELECT d.id_a, p.id_b FROM d JOIN p ON d.id_b = p.id_a) SELECT id_a, list_sort(list(id_b)) AS parts FROM e GROUP BY id_a")
+@R.add("containment_collapse", f"{_HELD}, t AS (SELECT DISTINCT id_a FROM p WHERE id_a NOT IN (SELECT id_b FROM p)), d AS (SELECT t.id_a, id_b FROM t JOIN p ON t.id_a = p.id_a), e AS (SELECT id_a, id_b FROM d UNION SELECT d.id_a, p.id_b FROM d JOIN p ON d.id_b = p.id_a) SELECT id_a, list_sort(list(id_b)) AS parts FROM e GROUP BY id_a")
 def containment_collapse(spark: SparkSession, d: str) -> DataFrame:
     return rd.collapse_containment(_contained(spark, d))
 
