@@ -43,24 +43,21 @@ def transcripts(gtf: DataFrame, order: str = "record_id") -> DataFrame:
     return out.withColumn("transcript_type", F.coalesce("transcript_type", "gene_type")).withColumn("gene_name", F.coalesce("gene_name", "gene_id")).withColumn("transcript_name", F.coalesce("transcript_name", "gene_name"))
 
 
-def union_blocks(blocks: Column) -> Column:
-    """Blocks of any order as ascending disjoint ones, touching ones joined."""
-
-    def step(acc: Column, b: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joined = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(bl.block(last["start"], F.greatest(last["end"], b["end"]))))
-        return F.when(F.coalesce(b["start"] <= last["end"], F.lit(False)), joined).otherwise(F.array_append(acc, b))
-
-    return F.aggregate(F.array_sort(F.filter(blocks, lambda b: b["start"] < b["end"])), F.array().cast(bl.BLOCKS), step)
+def _union(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and ``exons``: the union of the exons of each key as ascending disjoint blocks, touching ones joined. The sweep merges them, whatever share of all rows one key has; only what
+    is left of a key meets in one row."""
+    each = rows.select(*keys, F.explode("exons").alias("_x")).select(*keys, "_x.start", "_x.end")
+    return merge(each, keys).groupBy(*keys).agg(F.array_sort(F.collect_list(bl.block(F.col("start"), F.col("end")))).alias("exons"))
 
 
 def genes(tx: DataFrame) -> DataFrame:
     """Per gene the hull, the CDS hull and the union of exons."""
-    return tx.where("gene_id IS NOT NULL").groupBy("gene_id").agg(
+    tx = cut(tx.where("gene_id IS NOT NULL"))
+    hulls = tx.groupBy("gene_id").agg(
         F.min_by("gene_name", "transcript_id").alias("gene_name"), F.min_by("gene_type", "transcript_id").alias("gene_type"), F.min_by("chrom", "transcript_id").alias("chrom"), F.min_by("strand", "transcript_id").alias("strand"),
         F.min("start").alias("start"), F.max("end").alias("end"), F.min("cds_start").alias("cds_start"), F.max("cds_end").alias("cds_end"), F.count("*").alias("n"),
-        union_blocks(F.flatten(F.collect_set("exons"))).alias("exons"),
     )
+    return hulls.join(_union(tx, ["gene_id"]), "gene_id")
 
 
 def loci(tx: DataFrame, stranded: bool = True, drop_types: list[str] | None = None, drop_names: list[str] | None = None) -> DataFrame:
@@ -72,7 +69,7 @@ def loci(tx: DataFrame, stranded: bool = True, drop_types: list[str] | None = No
     keys = ["chrom", "strand"] if stranded else ["chrom"]
     tx = cut(tx)  # read by the sweep and by the join
     runs = merge(tx, keys).select(*keys, "start", "end")
-    hits = overlap_join(tx, runs, keys)
+    hits = cut(overlap_join(tx, runs, keys).withColumnsRenamed({"start_b": "_s", "end_b": "_e"}))
 
     def listed(c: str) -> Column:
         return F.array_join(F.array_sort(F.collect_set(c)), ",").alias(c)
@@ -80,12 +77,13 @@ def loci(tx: DataFrame, stranded: bool = True, drop_types: list[str] | None = No
     def sorted_list(c: str, name: str) -> Column:
         return F.transform(F.array_sort(F.collect_list(F.struct("start", "transcript_id", F.col(c).alias("v")))), lambda x: x["v"]).alias(name)
 
-    return hits.groupBy(*keys, F.col("start_b").alias("start"), F.col("end_b").alias("end")).agg(
+    out = hits.groupBy(*keys, "_s", "_e").agg(
         *[listed(c) for c in ("transcript_id", "gene_id", "gene_name", "gene_type", "transcript_type")],
         sorted_list("start", "starts"), sorted_list("end", "ends"),
         F.filter(sorted_list("cds_start", "x"), lambda x: x.isNotNull()).alias("cds_starts"), F.filter(sorted_list("cds_end", "x"), lambda x: x.isNotNull()).alias("cds_ends"),
-        F.min("cds_start").alias("cds_start"), F.max("cds_end").alias("cds_end"), union_blocks(F.flatten(F.collect_set("exons"))).alias("exons"), F.count("*").alias("count"),
+        F.min("cds_start").alias("cds_start"), F.max("cds_end").alias("cds_end"), F.count("*").alias("count"),
     )
+    return out.join(_union(hits, [*keys, "_s"]), [*keys, "_s"]).withColumnsRenamed({"_s": "start", "_e": "end"})
 
 
 def with_distances(loc: DataFrame, keys: list[str], sizes: DataFrame | None = None) -> DataFrame:

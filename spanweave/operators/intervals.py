@@ -1,6 +1,7 @@
 """Interval joins and interval algebra (J1-J9, P4-P6, I1-I10, W7). Intervals are 0-based and half-open.
 
-Overlap joins bin both sides: the build side at the level that fits each interval (two bins at most), the probe side at every level. A pair is kept in
+Overlap joins bin both sides: the build side at the level that fits each interval (two bins at most), the probe side at every level that the build side
+has, within its extent. Where the bins of a level are few, a key is spread over salts as well, so that no key of the join holds much more than one row in ``SPREAD`` of a key's. A pair is kept in
 the bin of the later start only, so nothing is made distinct. Sweeps cut the line of each key into tiles: events are summed by position before they move, and tiles
 meet through one short row each, so that a key with most rows is still many tasks.
 
@@ -10,13 +11,19 @@ inside another one overlaps it; touching runs join; repeats count as often as th
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: log2 of the bins' width, level by level; intervals wider than the last but one meet in one bin of their key.
-SHIFTS = (14, 18, 22, 26, 30, 62)
+from spanweave.runtime import attach, once
+
+#: log2 of the bins' width, level by level; for intervals of any 64-bit width.
+SHIFTS = tuple(range(14, 63, 4))
+#: A level's bins and salts together are this many at the least, over the extent of the build side.
+SPREAD = 64
 TILE_BITS = 20
 
 
@@ -46,23 +53,33 @@ def _level(start: Column, end: Column) -> Column:
     return out
 
 
+def _salts(width: Column, level: Column) -> Column:
+    """How many salts a bin of ``level`` is spread over, where the build side is ``width`` wide."""
+    return F.greatest(F.floor(F.lit(SPREAD) / (_bin(width, level) + 1)), F.lit(1)).cast("int")
+
+
 def overlap_join(probe: DataFrame, build: DataFrame, keys: list[str], how: str = "inner", start: str = "start", end: str = "end", suffix: str = "_b", ident: str | None = None) -> DataFrame:
     """Each pair of rows with equal keys and overlapping intervals; columns of ``build`` get ``suffix``. ``left`` keeps every probe row;
     it finds the rows without a partner by the unique column ``ident``, or by all columns (equal rows have equal partners)."""
-    b = build.select(*[F.col(c).alias(c + suffix) for c in build.columns])
+    b = once(build).select(*[F.col(c).alias(c + suffix) for c in build.columns])
     bs, be = start + suffix, end + suffix
     ok = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in [*(k + suffix for k in keys), bs, be]])
-    b = b.where(ok & (F.col(be) >= F.col(bs))).withColumn("_level", _level(F.col(bs), F.col(be)))
-    b = b.withColumn("_bin", F.explode(F.sequence(_bin(F.col(bs), F.col("_level")), _bin(F.greatest(F.col(be) - 1, F.col(bs)), F.col("_level")))))
+    b = b.where(ok & (F.col(be) >= F.col(bs))).withColumn("_level_b", _level(F.col(bs), F.col(be)))
+    known = b.agg(F.struct(F.coalesce(F.collect_set("_level_b"), F.array().cast("array<int>")).alias("levels"), F.min(bs).alias("lo"), F.max(be).alias("hi")).alias("_known"))  # one row
+    level, width = F.col("_level_b"), F.col("_known.hi") - F.col("_known.lo")
+    b = b.transform(attach, known).withColumn("_bin_b", F.explode(F.sequence(_bin(F.col(bs), level), _bin(F.greatest(F.col(be) - 1, F.col(bs)), level))))
+    b = b.withColumn("_salt_b", F.explode(F.sequence(F.lit(0), _salts(width, level) - 1))).drop("_known")
     ok = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in [*keys, start, end]])
-    levels = F.array(*[F.lit(k) for k in range(len(SHIFTS))])
-    a = probe.where(ok & (F.col(end) >= F.col(start))).withColumn("_level", F.explode(levels))
-    a = a.withColumn("_bin", F.explode(F.sequence(_bin(F.col(start), F.col("_level")), _bin(F.greatest(F.col(end) - 1, F.col(start)), F.col("_level")))))
+    level = F.col("_level")
+    a = probe.where(ok & (F.col(end) >= F.col(start))).transform(attach, known).where((F.col(end) >= F.col("_known.lo")) & (F.col(start) <= F.col("_known.hi")))
+    a = a.withColumn("_level", F.explode("_known.levels"))
+    a = a.withColumn("_bin", F.explode(F.sequence(_bin(F.col(start), level), _bin(F.greatest(F.col(end) - 1, F.col(start)), level))))
+    row = [ident] if ident else [f.name for f in probe.schema if not isinstance(f.dataType, T.MapType | T.VariantType)]
+    a = a.withColumn("_salt", F.pmod(F.xxhash64(*row), _salts(width, level)).cast("int")).drop("_known")
     on = [F.col(k) == F.col(k + suffix) for k in keys]
-    b = b.withColumnsRenamed({"_level": "_level_b", "_bin": "_bin_b"})
-    on += [F.col("_level") == F.col("_level_b"), F.col("_bin") == F.col("_bin_b"), overlaps(F.col(start), F.col(end), F.col(bs), F.col(be))]
+    on += [F.col("_level") == F.col("_level_b"), F.col("_bin") == F.col("_bin_b"), F.col("_salt") == F.col("_salt_b"), overlaps(F.col(start), F.col(end), F.col(bs), F.col(be))]
     on += [F.col("_bin") == _bin(F.greatest(F.col(start), F.col(bs)), F.col("_level"))]
-    pairs = a.join(b, reduce(lambda x, y: x & y, on)).drop("_level", "_bin", "_level_b", "_bin_b")
+    pairs = a.join(b, reduce(lambda x, y: x & y, on)).drop("_level", "_bin", "_salt", "_level_b", "_bin_b", "_salt_b")
     if how == "inner":
         return pairs
     if ident is not None:
@@ -106,8 +123,8 @@ def nearest_interval(queries: DataFrame, features: DataFrame, keys: list[str], s
     return nearest_interval(queries.where(~minus), features, keys, side, order, n, max_dist, ident=ident).unionByName(nearest_interval(queries.where(minus), features, keys, other, order, n, max_dist, ident=ident))
 
 
-def sweep(sides: list[DataFrame], keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
-    """keys, start, end, n0, n1, ...: the segments between neighbouring ends, with the number of intervals of each side over them."""
+def _points(sides: list[DataFrame], keys: list[str], start: str, end: str) -> tuple[DataFrame, list[str]]:
+    """keys, pos, tile and by how much the number of intervals of each side changes at pos."""
     marks = [f"n{i}" for i in range(len(sides))]
     events = []
     for i, df in enumerate(sides):
@@ -116,30 +133,50 @@ def sweep(sides: list[DataFrame], keys: list[str], start: str = "start", end: st
         events.append(one.select(*keys, "x.pos", *[(F.col("x.d") if j == i else F.lit(0)).cast("bigint").alias(m) for j, m in enumerate(marks)]))
     every = reduce(DataFrame.unionByName, events)
     points = every.groupBy(*keys, "pos").agg(*[F.sum(m).alias(m) for m in marks]).where(reduce(lambda x, y: x | y, [F.col(m) != 0 for m in marks]))
-    points = points.withColumn("tile", F.shiftright("pos", TILE_BITS))
+    return points.withColumn("tile", F.shiftright("pos", TILE_BITS)), marks
+
+
+def _summed(points: DataFrame, keys: list[str], marks: list[str]) -> DataFrame:
+    """``points`` with ``_n*``, the numbers of intervals right after each, and ``_next``, where the next tile begins."""
     across = Window.partitionBy(*keys).orderBy("tile")  # one row per tile
     tiles = points.groupBy(*keys, "tile").agg(F.min("pos").alias("first"), *[F.sum(m).alias(m) for m in marks])
     tiles = tiles.select(*keys, "tile", F.lead("first").over(across).alias("_next"), *[(F.sum(m).over(across) - F.col(m)).alias("_" + m) for m in marks])
     inside = Window.partitionBy(*keys, "tile").orderBy("pos")
-    out = points.join(tiles, [*keys, "tile"])
-    return out.select(
-        *keys, F.col("pos").alias(start), F.coalesce(F.lead("pos").over(inside), F.col("_next")).alias(end), *[(F.col("_" + m) + F.sum(m).over(inside)).alias(m) for m in marks]
-    ).where(F.col(end).isNotNull())
+    return points.join(tiles, [*keys, "tile"]).withColumns({"_" + m: F.col("_" + m) + F.sum(m).over(inside) for m in marks})
 
 
-def _runs(segments: DataFrame, keys: list[str]) -> DataFrame:
-    """Touching segments joined."""
-    return sweep([segments], keys).where("n0 > 0").drop("n0")
+def sweep(sides: list[DataFrame], keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
+    """keys, start, end, n0, n1, ...: the segments between neighbouring ends, with the number of intervals of each side over them."""
+    points, marks = _points(sides, keys, start, end)
+    inside = Window.partitionBy(*keys, "tile").orderBy("pos")
+    end_at = F.coalesce(F.lead("pos").over(inside), F.col("_next"))
+    return _summed(points, keys, marks).select(*keys, F.col("pos").alias(start), end_at.alias(end), *[F.col("_" + m).alias(m) for m in marks]).where(F.col(end).isNotNull())
+
+
+def stretches(sides: list[DataFrame], keys: list[str], covered: Callable[..., Column]) -> DataFrame:
+    """keys, start, end: maximal stretches over which ``covered``, a function of the numbers of intervals of each side, holds (not where all are 0).
+
+    Only the places where it turns are kept. Turns of one tile are paired there; a stretch that reaches into later tiles is paired over the first and last turn of each tile.
+    """
+    points, marks = _points(sides, keys, "start", "end")
+    after, before = [F.col("_" + m) for m in marks], [F.col("_" + m) - F.col(m) for m in marks]
+    turns = _summed(points, keys, marks).where(covered(*after) != covered(*before)).select(*keys, "tile", "pos", covered(*after).alias("_on"))
+    inside = Window.partitionBy(*keys, "tile").orderBy("pos")
+    turns = turns.withColumn("end", F.lead("pos").over(inside)).withColumn("_first", F.row_number().over(inside) == 1)
+    near = turns.where(F.col("_on") & F.col("end").isNotNull()).select(*keys, F.col("pos").alias("start"), "end")
+    edges = turns.where(F.col("_first") | F.col("end").isNull()).withColumn("_last", F.col("end").isNull())
+    far = edges.withColumn("end", F.lead("pos").over(Window.partitionBy(*keys).orderBy("pos"))).where("_on AND _last")  # two rows per tile
+    return near.unionByName(far.select(*keys, F.col("pos").alias("start"), "end"))
 
 
 def merge(df: DataFrame, keys: list[str]) -> DataFrame:
     """Union as disjoint runs, touching ones joined."""
-    return _runs(sweep([df], keys).where("n0 > 0"), keys)
+    return stretches([df], keys, lambda n: n > 0)
 
 
 def intersect(a: DataFrame, b: DataFrame, keys: list[str], on_missing: str = "drop") -> DataFrame:
     """Runs covered by both; with ``keep`` the keys that b lacks keep the runs of a."""
-    both = _runs(sweep([a, b], keys).where("n0 > 0 AND n1 > 0"), keys)
+    both = stretches([a, b], keys, lambda m, n: (m > 0) & (n > 0))
     if on_missing == "drop":
         return both
     return both.unionByName(merge(a.join(b.select(*keys).distinct(), keys, "left_anti"), keys))
@@ -147,12 +184,12 @@ def intersect(a: DataFrame, b: DataFrame, keys: list[str], on_missing: str = "dr
 
 def subtract(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Runs covered by a and not by b."""
-    return _runs(sweep([a, b], keys).where("n0 > 0 AND n1 = 0"), keys)
+    return stretches([a, b], keys, lambda m, n: (m > 0) & (n == 0))
 
 
 def symmetric(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """I6 xor: runs covered by exactly one side."""
-    return _runs(sweep([a, b], keys).where("(n0 > 0) != (n1 > 0)"), keys)
+    return stretches([a, b], keys, lambda m, n: (m > 0) != (n > 0))
 
 
 def complement(df: DataFrame, sizes: DataFrame, keys: list[str], length: str = "length") -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanweave.runtime import once
 from spanweave.operators.intervals import overlap_join
 from spanweave.runtime import attach
 
@@ -28,6 +29,7 @@ def _all_pairs(regions: DataFrame, track: DataFrame) -> DataFrame:
 
 def values(regions: DataFrame, track: DataFrame) -> DataFrame:
     """(id, sample, pos, value) of every base, pos from 0. Gaps are filled while signal is still run-length coded; bases are exploded last and never moved."""
+    track = once(track)
     none = _all_pairs(regions, track).select("id", "sample", "length", F.lit(0).cast("bigint").alias("s"), F.lit(0).cast("bigint").alias("e"), F.lit(0.0).alias("value"))
     runs = none.unionByName(_parts(regions, track).select("id", "sample", (F.col("r_end") - F.col("r_start")).alias("length"), "s", "e", "value"))
     after = F.coalesce(F.lead("s").over(Window.partitionBy("id", "sample").orderBy("s", "e")), F.col("length"))
@@ -38,6 +40,7 @@ def values(regions: DataFrame, track: DataFrame) -> DataFrame:
 
 def stats(regions: DataFrame, track: DataFrame) -> DataFrame:
     """Mean, max, min, sum, coverage and std over the bases that have a value; all 0 where none has."""
+    track = once(track)
     n, v = F.col("e") - F.col("s"), F.col("value")
     got = _parts(regions, track).groupBy("id", "sample").agg(
         F.sum(n).alias("n"), F.sum(v * n).alias("sum"), F.max(v).alias("max"), F.min(v).alias("min"), F.sum(v * v * n).alias("_q")
@@ -66,6 +69,7 @@ def coverage_bins(regions: DataFrame, track: DataFrame, nbins: int, fractional:
     """T4: share of bases other than 0 in each of ``nbins`` equal bins; a length that does not divide raises.
 
     ``fractional``: bins of exactly length / nbins bases at any length; a base that two or more bins share counts in each by its part."""
+    track = once(track)
     parts = _parts(regions, track).withColumn("length", F.col("r_end") - F.col("r_start"))
     if fractional:  # in units of 1 / nbins of a base every bin is ``length`` units wide
         parts = parts.withColumns({"s": F.col("s") * nbins, "e": F.col("e") * nbins}).where("value <> 0")
@@ -77,6 +81,7 @@ def coverage_bins(regions: DataFrame, track: DataFrame, nbins: int, fractional:
 
 def scale_region(regions: DataFrame, track: DataFrame, length: int = 1000, nbins: int = 10) -> DataFrame:
     """T5: regions scaled to ``length // nbins`` values, means of equal windows; what is left over at the end is cut; regions shorter than that are 0."""
+    track = once(track)
     n = length // nbins
     got = _binned(_parts(regions, track), F.expr(f"(r_end - r_start) div {n}"), F.lit(n), F.col("value"))
     return _with_zeros(regions, track, got, n)
@@ -86,6 +91,7 @@ def sliding_coverage(regions: DataFrame, track: DataFrame, nbins: int) -> DataFr
     """(id, sample, pos, value): share of bases other than 0 among the ``nbins`` from pos on, as far as that many are left.
 
     The count of such bases is linear between the places where an end of the window meets an end of a run, so it is summed over these and exploded last."""
+    track = once(track)
     zero = F.lit(0).cast("bigint")
 
     def turn(at: Column, slope: int, count: Column) -> Column:
@@ -126,6 +132,7 @@ def _window(loci: DataFrame, point: str, up: int, down: int) -> DataFrame:
 
 def reference_point(loci: DataFrame, track: DataFrame, point: str = "TES", method: str = "reads", up: int = 2000, down: int = 10000, bins: int = 10) -> DataFrame:
     """Mean profile around a point, in the loci's direction; before position 0 the signal is 0. ``reads``: means of bins; ``coverage``: sliding share of bases with signal."""
+    track = once(track)
     w = _window(loci, point, up, down)
     if method == "reads":
         n = (up + down) // bins
@@ -135,12 +142,14 @@ def reference_point(loci: DataFrame, track: DataFrame, point: str = "TES", metho
 
 def signal_point(loci: DataFrame, track: DataFrame, point: str = "TES", up: int = 2000, down: int = 2000) -> DataFrame:
     """Per-base mean profile; call it with the sense and the antisense track."""
+    track = once(track)
     w = _window(loci, point, up, down)
     return _profile(w, track, _binned(_parts(w, track), F.lit(1), F.lit(up + down), F.col("value")), up + down)
 
 
 def scale_regions(loci: DataFrame, track: DataFrame, up: int = 2000, down: int = 2000, length: int = 5000, bins: int = 10) -> DataFrame:
     """Mean profile of upstream bins, the body scaled to ``length // bins`` bins, and downstream bins, in the loci's direction."""
+    track = once(track)
     minus = F.col("strand") == "-"
     lo, hi = F.when(minus, down).otherwise(up), F.when(minus, up).otherwise(down)  # left and right in coordinates
     parts = [

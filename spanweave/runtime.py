@@ -47,6 +47,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def once(df: DataFrame) -> DataFrame:
+    """``df`` for more than one reading: itself if it only filters and projects a stored table, else written down."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.children().size() == 1 and plan.nodeName() in ("Project", "Filter"):
+        plan = plan.children().head()
+    return df if plan.children().isEmpty() else cut(df)
+
+
 def release(spark: SparkSession | None = None) -> None:
     """Remove the tables written by ``scratch`` and ``cut``; frames that read them are void afterwards. Runs at the end of the program as well."""
     spark = spark or SparkSession.getActiveSession()
