@@ -42,6 +42,17 @@ def blocks_length(blocks: Column) -> Column:
     return F.aggregate(blocks, F.lit(0).cast("bigint"), lambda a, b: a + b["end"] - b["start"])
 
 
+def union_blocks(blocks: Column) -> Column:
+    """The few blocks of one fragment, in any order, as ascending disjoint ones, touching ones joined. Blocks of whole genes go through ``intervals.merge``."""
+
+    def step(acc: Column, b: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        joined = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(block(last["start"], F.greatest(last["end"], b["end"]))))
+        return F.when(F.coalesce(b["start"] <= last["end"], F.lit(False)), joined).otherwise(F.array_append(acc, b))
+
+    return F.aggregate(F.array_sort(F.filter(blocks, lambda b: b["start"] < b["end"])), F.array().cast(BLOCKS), step)
+
+
 def runs_of_one(values: Column) -> Column:
     """an ascending array of whole numbers as runs of steps of one."""
 

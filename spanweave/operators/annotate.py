@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from spanweave.functions import blocks as bl
 from spanweave.operators.intervals import any_overlap, overlap_join, overlaps
+from spanweave.operators.reads import READ2, has, mapped, mate_pairs, with_blocks
+from spanweave.runtime import once
 
 #: Labels, the most telling first, and the order used for peaks.
 PRIORITY = ("TSS", "TES", "StartCondon", "StopCondon", "5UTR", "3UTR", "CDS", "Exon", "Intron", "Upstream", "Downstream", "Intergenic")
@@ -92,7 +94,7 @@ def tier(x: Column, priority: tuple[str, ...] = PRIORITY) -> Column:
 def annotate_hits(reads: DataFrame, features: DataFrame, stranded: bool = False, region: tuple[int, int] = (-3000, 0), down: int = 3000, **flags: bool) -> DataFrame:
     """Every read with every feature whose hull it touches: id, feature id, name, type, place, ``labels`` and ``tier``; reads without a hit once, labels null.
 
-    reads: id, chrom, start, end, strand, blocks (or none: the interval itself); features: id, name, type, chrom, start, end, strand, cds_start, cds_end, exons.
+    reads: id, chrom, start, end, strand, blocks (or none: the interval itself); features: id, name, type, chrom, start, end, strand, cds_start, cds_end, exons and, if given, gene_type.
     """
     if "blocks" not in reads.columns:
         reads = reads.withColumn("blocks", F.array(bl.block(F.col("start"), F.col("end"))))
@@ -103,20 +105,57 @@ def annotate_hits(reads: DataFrame, features: DataFrame, stranded: bool = False,
     f = {k: F.col(k + "_b") for k in ("type", "strand", "cds_start", "cds_end", "exons")} | {"start": F.col("place_b.start"), "end": F.col("place_b.end")}
     found = F.col("id_b").isNotNull()
     out = with_labels(hits, f, region, down, **flags).withColumn("labels", F.when(found, F.col("labels")))
-    return out.withColumn("tier", F.when(found, tier(F.col("labels")))).select("id", "chrom", "start", "end", "strand", F.col("id_b").alias("feature_id"), F.col("name_b").alias("name"), F.col("type_b").alias("type"), F.col("strand_b").alias("feature_strand"), F.col("place_b.start").alias("feature_start"), F.col("place_b.end").alias("feature_end"), "labels", "tier")
+    return out.withColumn("tier", F.when(found, tier(F.col("labels")))).select("id", "chrom", "start", "end", "strand", F.col("id_b").alias("feature_id"), F.col("name_b").alias("name"), F.col("type_b").alias("type"), (F.col("gene_type_b") if "gene_type_b" in hits.columns else F.col("type_b")).alias("gene_type"), F.col("strand_b").alias("feature_strand"), F.col("place_b.start").alias("feature_start"), F.col("place_b.end").alias("feature_end"), "labels", "tier")
 
 
 def annotate(reads: DataFrame, features: DataFrame, stranded: bool = False, region: tuple[int, int] = (-3000, 0), down: int = 3000, upstream_name: str = "Upstream", downstream_name: str = "Downstream", priority: tuple[str, ...] = PRIORITY, **flags: bool) -> DataFrame:
-    """One row per read: annotation, starts, ends, strands, names, ids and types of the features of its best tier; ``*`` without a hit."""
+    """One row per read: annotation, starts, ends, strands, names, ids and types of the features of its best tier; ``*`` without a hit.
+
+    The types are the gene types of these features, unless that brought in protein_coding where none of their own types is.
+    """
     hits = annotate_hits(reads, features, stranded, region, down, **flags)
     best = hits.withColumn("_best", F.min("tier").over(Window.partitionBy("id"))).where(F.col("tier").eqNullSafe(F.col("_best")))  # hits of one read
 
     def listed(c: str, name: str) -> Column:
         return F.coalesce(F.nullif(F.array_join(F.array_sort(F.collect_set(F.col(c).cast("string"))), ","), F.lit("")), F.lit("*")).alias(name)
 
+    coding = F.lit("protein_coding")
+    brought = F.array_contains(F.collect_set("gene_type"), coding) & ~F.array_contains(F.collect_set("type"), coding)
     out = best.groupBy("id", "chrom", "start", "end", "strand").agg(
         primary(F.collect_set(primary(F.col("labels"), priority)), priority).alias("anno"),
-        listed("feature_start", "starts"), listed("feature_end", "ends"), listed("feature_strand", "strands"), listed("name", "names"), listed("feature_id", "ids"), listed("type", "types"),
+        listed("feature_start", "starts"), listed("feature_end", "ends"), listed("feature_strand", "strands"), listed("name", "names"), listed("feature_id", "ids"),
+        F.when(brought, listed("type", "types")).otherwise(listed("gene_type", "types")).alias("types"),
     )
     name = F.coalesce("anno", F.lit("Intergenic"))
     return out.withColumn("anno", F.when(name == "Upstream", upstream_name).when(name == "Downstream", downstream_name).otherwise(name))
+
+
+def fragments(alignments: DataFrame, rule: str = "1+-,1-+,2++,2--", paired: bool = False, order: str = "_pos") -> DataFrame:
+    """What of an alignment file is annotated: id, qname, chrom, start, end, blocks and the strand that the library's ``rule`` gives.
+
+    Every mapped read by itself, or with ``paired`` the mates of a name together: mates of one chromosome and strand whose blocks overlap are one fragment with the union
+    of their blocks, others stay alone. ``id`` is the order value of the read, of a fragment that of its first mate; names without a usable mate give nothing.
+    """
+    reads = with_blocks(mapped(alignments)).where(F.size("blocks") > 0)
+    second = has(READ2)
+    if not paired:
+        rows = reads.select(F.col(order).alias("id"), "qname", F.col("rname").alias("chrom"), "strand", second.alias("_second"), "blocks")
+    else:
+        pairs = mate_pairs(reads, "qname", F.when(second, 2).otherwise(1), order, [order, "rname", "strand", "blocks"])
+        one, two = F.col("r1"), F.col("r2")
+        joined = F.coalesce((one["rname"] == two["rname"]) & (one["strand"] == two["strand"]) & any_overlap(one["blocks"], two["blocks"]), F.lit(False))
+
+        def alone(r: Column, is_second: bool) -> Column:
+            return F.when(r.isNotNull(), F.struct(r[order].alias("id"), r["rname"].alias("chrom"), r["strand"].alias("strand"), F.lit(is_second).alias("_second"), r["blocks"].alias("blocks")))
+
+        whole = F.struct(one[order].alias("id"), one["rname"].alias("chrom"), one["strand"].alias("strand"), F.lit(False).alias("_second"), bl.union_blocks(F.concat(one["blocks"], two["blocks"])).alias("blocks"))
+        each = F.when(joined, F.array(whole)).otherwise(F.filter(F.array(alone(one, False), alone(two, True)), lambda x: x.isNotNull()))
+        rows = pairs.select("qname", F.explode(each).alias("_x")).select("qname", "_x.*")
+    ends = {"start": F.get("blocks", F.lit(0))["start"], "end": F.element_at("blocks", -1)["end"]}
+    return rows.withColumns({**ends, "strand": bl.fragment_strand(F.col("strand"), rule, F.col("_second"))}).select("id", "qname", "chrom", "start", "end", "strand", "blocks")
+
+
+def annotate_alignments(alignments: DataFrame, features: DataFrame, rule: str = "1+-,1-+,2++,2--", paired: bool = False, order: str = "_pos", **how) -> DataFrame:
+    """``annotate`` for an alignment file, read by read or fragment by fragment (see ``fragments``), with ``qname``."""
+    reads = once(fragments(alignments, rule, paired, order))
+    return annotate(reads.drop("qname"), features, **how).join(reads.select("id", "qname"), "id")

@@ -173,7 +173,7 @@ for _kind in ("first_exon", "last_exon", "cds", "5utr", "3utr"):
 
 def _annotation(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     reads = load(spark, d, "bed6").where("end > start AND chrom IS NOT NULL").select(F.col("interval_id").alias("id"), "chrom", "start", "end", "strand")
-    f = tx(spark, d).where("strand IN ('+', '-')").select(F.col("transcript_id").alias("id"), F.col("gene_name").alias("name"), F.col("transcript_type").alias("type"), "chrom", "start", "end", "strand", "cds_start", "cds_end", "exons")
+    f = tx(spark, d).where("strand IN ('+', '-')").select(F.col("transcript_id").alias("id"), F.col("gene_name").alias("name"), F.col("transcript_type").alias("type"), "gene_type", "chrom", "start", "end", "strand", "cds_start", "cds_end", "exons")
     return reads, f
 
 
@@ -185,10 +185,10 @@ _ANN = f"""{_TX}, {_UTR}, f AS (SELECT *, CASE WHEN strand = '-' THEN "end" ELSE
  CASE WHEN strand = '-' THEN start - 3000 ELSE "end" END AS d1, CASE WHEN strand = '-' THEN start ELSE "end" + 3000 END AS d2, coalesce(transcript_type = 'protein_coding', false) AS pc FROM v WHERE strand IN ('+', '-')),
 b AS (SELECT interval_id AS id, chrom AS rc, start AS rs, "end" AS re FROM bed6 WHERE "end" > start AND chrom IS NOT NULL),
 h AS (SELECT *, list_sort([u1, u2, d1, d2]) AS pos FROM b JOIN f ON rc = chrom AND re > least(u1, d1) AND rs < greatest(u2, d2)),
-c AS (SELECT id, transcript_id, gene_name, pos, rs, re, list_filter([CASE WHEN re < pos[1] OR rs > pos[4] THEN 'Intergenic' END, CASE WHEN u2 > rs AND u1 < re THEN 'Upstream' END,
+c AS (SELECT id, transcript_id, gene_name, gene_type, transcript_type, pos, rs, re, list_filter([CASE WHEN re < pos[1] OR rs > pos[4] THEN 'Intergenic' END, CASE WHEN u2 > rs AND u1 < re THEN 'Upstream' END,
  CASE WHEN pc AND {_hit('utr5')} THEN '5UTR' END, CASE WHEN pc AND {_hit('utr3')} THEN '3UTR' END, CASE WHEN pc AND {_hit('cds')} THEN 'CDS' END, CASE WHEN NOT pc AND {_hit('exons')} THEN 'Exon' END,
  CASE WHEN d2 > rs AND d1 < re THEN 'Downstream' END], lambda x: x IS NOT NULL) AS l0 FROM h),
-lab AS (SELECT id, transcript_id, gene_name, CASE WHEN len(l0) = 0 THEN ['Intron'] WHEN NOT list_has_any(l0, ['5UTR', '3UTR', 'CDS', 'Exon']) AND pos[3] > rs AND pos[2] < re THEN list_append(l0, 'Intron') ELSE l0 END AS labels FROM c),
+lab AS (SELECT id, transcript_id, gene_name, gene_type, transcript_type, CASE WHEN len(l0) = 0 THEN ['Intron'] WHEN NOT list_has_any(l0, ['5UTR', '3UTR', 'CDS', 'Exon']) AND pos[3] > rs AND pos[2] < re THEN list_append(l0, 'Intron') ELSE l0 END AS labels FROM c),
 pr AS (SELECT *, list_filter([{', '.join(f"'{x}'" for x in an.PRIORITY)}], lambda p: list_contains(labels, p))[1] AS prim, list_has_any(labels, ['Upstream', 'Downstream', 'Intergenic']) AS flank FROM lab),
 ti AS (SELECT *, CASE WHEN NOT flank AND prim <> 'Intron' THEN 1 WHEN flank AND list_has_any(labels, ['5UTR', '3UTR', 'CDS', 'Exon']) THEN 2 WHEN NOT flank THEN 3 WHEN list_contains(labels, 'Intron') THEN 4 ELSE 5 END AS tier FROM pr),
 be AS (SELECT *, min(tier) OVER (PARTITION BY id) AS best FROM ti)"""
@@ -212,6 +212,13 @@ def annotate_primary(spark: SparkSession, d: str) -> DataFrame:
     return an.annotate(*_annotation(spark, d)).select("id", "anno", "ids", "names")
 
 
+@R.add("annotate_types", f"""WITH {_ANN}, s AS (SELECT id, list_sort(list(DISTINCT gene_type) FILTER (gene_type IS NOT NULL)) AS gt, list_sort(list(DISTINCT transcript_type) FILTER (transcript_type IS NOT NULL)) AS ty FROM be WHERE tier = best GROUP BY id),
+w AS (SELECT id, array_to_string(CASE WHEN coalesce(list_contains(gt, 'protein_coding'), false) AND NOT coalesce(list_contains(ty, 'protein_coding'), false) THEN ty ELSE gt END, ',') AS types FROM s)
+SELECT b.id, coalesce(nullif(types, ''), '*') AS types FROM b LEFT JOIN w ON b.id = w.id""")
+def annotate_types(spark: SparkSession, d: str) -> DataFrame:
+    return an.annotate(*_annotation(spark, d)).select("id", "types")
+
+
 _PEAK = f"[{', '.join(f"'{x}'" for x in an.PEAK_PRIORITY)}]"
 
 

@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from spanweave.functions import blocks as bl
 from spanweave.functions import sequence as sq
 from spanweave.functions.attributes import attribute_map
+from spanweave.operators import annotate as an
 from spanweave.operators import features as ft
 from spanweave.operators import reads as rd
 from spanweave.operators import tables as tb
 from spanweave.plans.prepare import CELLS_SQL
 from spanweave.plans.q_features import _CLEAN as DNA
+from spanweave.plans.q_features import _ANN as ANN
 from spanweave.plans.q_features import _LOCI as LOCI
+from spanweave.plans.q_features import _annotation as annotation
 from spanweave.plans.q_features import tx
 from spanweave.plans.registry import Registry
 from spanweave.runtime import load, scratch
@@ -401,3 +404,16 @@ def percent(spark: SparkSession, d: str) -> DataFrame:
 @R.add("loci_without", f"""WITH {LOCI.replace("WHERE chrom IS NOT NULL AND strand IS NOT NULL", "WHERE chrom IS NOT NULL AND strand IS NOT NULL AND coalesce(gene_type NOT IN ('lncRNA', 'snoRNA'), true) AND NOT coalesce(starts_with(gene_name, 'G'), false)", 1)} SELECT chrom, strand, start, "end", transcript_id, count FROM l""")
 def loci_without(spark: SparkSession, d: str) -> DataFrame:
     return ft.loci(tx(spark, d), drop_types=["lncRNA", "snoRNA"], drop_names=["G"]).select("chrom", "strand", "start", "end", "transcript_id", "count")
+
+
+@R.add("annotate_alignments", f"""WITH {ANN}, {_AL}, r AS (SELECT interval_id FROM al WHERE flag & 3844 = 0),
+s AS (SELECT id, list_filter([{', '.join(f"'{x}'" for x in an.PRIORITY)}], lambda p: list_contains(list(prim), p))[1] AS anno FROM be WHERE tier = best GROUP BY id)
+SELECT interval_id AS id, coalesce(anno, 'Intergenic') AS anno FROM r LEFT JOIN s ON interval_id = id""")
+def annotate_alignments(spark: SparkSession, d: str) -> DataFrame:
+    reads = _alignments(spark, d).withColumn("cigar", F.translate("cigar", "N", "D"))  # one block each, as wide as the interval
+    return an.annotate_alignments(reads, annotation(spark, d)[1]).select("id", "anno")
+
+
+@R.add("annotate_fragments")
+def annotate_fragments(spark: SparkSession, d: str) -> DataFrame:
+    return an.annotate_alignments(_alignments(spark, d).withColumn("qname", F.concat_ws(":", "rname", F.expr("pos div 500").cast("string"))), annotation(spark, d)[1], paired=True).select("id", "qname", "strand", "anno")

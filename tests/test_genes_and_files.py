@@ -288,3 +288,22 @@ def test_tables_and_text_files(spark, tmp_path):
     with pytest.raises(ValueError, match="spreadsheets"):
         text.table(spark, "x.xlsx")
     assert rd.exact_sample(spark.range(100), 7, "id").count() == 7
+
+
+def test_annotated_fragments(spark):
+    rows = [
+        (1, "a", 0x1 | 0x40, "c", 100, 60, "20M", "", ""), (2, "a", 0x1 | 0x80, "c", 110, 60, "20M10N5M", "", ""),  # overlap on one strand: a fragment
+        (3, "b", 0x41, "c", 100, 60, "20M", "", ""), (4, "b", 0x81 | 0x10, "c", 110, 60, "20M", "", ""),  # other strands
+        (5, "d", 0x41, "c", 900, 60, "10M", "", ""),  # alone
+        (6, "e", 0x41 | 0x4, "c", 900, 60, "10M", "", ""), (7, None, 0x41, "c", 1, 60, "1M", "", ""), (8, "f", 0x41, "c", 5, 60, "*", "", ""),
+    ]
+    al = spark.createDataFrame(rows, "_pos bigint, qname string, flag int, rname string, pos bigint, mapq int, cigar string, seq string, qual string")
+    got = {(r.id, r.qname, r.start, r.end, r.strand, tuple(pairs(r.blocks))) for r in an.fragments(al, paired=True).collect()}
+    assert got == {(1, "a", 100, 145, "-", ((100, 130), (140, 145))), (3, "b", 100, 120, "-", ((100, 120),)), (4, "b", 110, 130, "-", ((110, 130),)), (5, "d", 900, 910, "-", ((900, 910),))}
+    alone = {(r.id, r.strand) for r in an.fragments(al, "++,--").where("qname IS NOT NULL").collect()}
+    assert alone == {(1, "+"), (2, "-"), (3, "+"), (4, "+"), (5, "+")}
+    f = spark.createDataFrame([("T", "N", "lncRNA", "protein_coding", "c", 90, 200, "-", None, None, [(90, 200)])], f"id string, name string, type string, gene_type string, chrom string, start long, end long, strand string, cds_start long, cds_end long, exons {bl.BLOCKS}")
+    out = {r.qname: (r.anno, r.types) for r in an.annotate_alignments(al, f, paired=True, region=(-10, 0), down=10).collect()}
+    assert out == {"a": ("Exon", "lncRNA"), "b": ("Exon", "lncRNA"), "d": ("Intergenic", "*")}
+    assert {r.types for r in an.annotate_alignments(al, f.withColumn("gene_type", F.lit("x")), paired=True).where("qname = 'a'").collect()} == {"x"}
+    assert an.fragments(al.limit(0), paired=True).count() == 0
