@@ -1,8 +1,8 @@
 """Interval joins and interval algebra (J1-J9, P4-P6, I1-I10, W7). Intervals are 0-based and half-open.
 
-Overlap joins bin both sides: the build side at the level that fits each interval (two bins at most), the probe side at every level that the build side
-has, within its extent. Where the bins of a level are few, a key is spread over salts as well, so that no key of the join holds much more than one row in ``SPREAD`` of a key's. A pair is kept in
-the bin of the later start only, so nothing is made distinct. Sweeps cut the line of each key into tiles: events are summed by position before they move, and tiles
+Overlap joins bin both sides: a pair meets at the level of bins that fits its wider interval, so that no interval has more than two bins at a level, and rows go only to levels that the
+other side has. Where the bins of a level are few, the narrower side is spread over salts and the wider one repeated, so that no key of the join holds much more than one row in ``SPREAD`` of a
+key's. A pair is kept in the bin of the later start only, so nothing is made distinct. Sweeps cut the line of each key into tiles: events are summed by position before they move, and tiles
 meet through one short row each, so that a key with most rows is still many tasks.
 
 Defined results: rows with a null key or bound overlap nothing and cover nothing; reversed and empty intervals cover nothing, though an empty interval strictly
@@ -58,28 +58,55 @@ def _salts(width: Column, level: Column) -> Column:
     return F.greatest(F.floor(F.lit(SPREAD) / (_bin(width, level) + 1)), F.lit(1)).cast("int")
 
 
+def _hashable(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema if not isinstance(f.dataType, T.MapType | T.VariantType)]
+
+
+def _levels(own: str) -> Column:
+    return F.coalesce(F.collect_set(own), F.array().cast("array<int>")).alias("levels")
+
+
+def _placed(df: DataFrame, keys: list[str], start: str, end: str, side: str) -> DataFrame:
+    """Rows that can overlap anything, with the level that fits them."""
+    ok = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in [*keys, start, end]])
+    return df.where(ok & (F.col(end) >= F.col(start))).withColumn("_own" + side, _level(F.col(start), F.col(end)))
+
+
+def _spread(df: DataFrame, start: str, end: str, width: Column, salted: Column, row: list[str], side: str) -> DataFrame:
+    """Bins and salts of the level ``_at``: one salt of a row that is ``salted``, all salts of any other."""
+    df = df.select("*", F.col("_at.kind").alias("_kind" + side), F.col("_at.level").alias("_level" + side))
+    level = F.col("_level" + side)
+    df = df.withColumn("_bin" + side, F.explode(F.sequence(_bin(F.col(start), level), _bin(F.greatest(F.col(end) - 1, F.col(start)), level))))
+    salts = _salts(width, level)
+    every = F.when(salted, F.array(F.pmod(F.xxhash64(*row), salts).cast("int"))).otherwise(F.sequence(F.lit(0), salts - 1))
+    return df.withColumn("_salt" + side, F.explode(every)).drop("_at")
+
+
 def overlap_join(probe: DataFrame, build: DataFrame, keys: list[str], how: str = "inner", start: str = "start", end: str = "end", suffix: str = "_b", ident: str | None = None) -> DataFrame:
     """Each pair of rows with equal keys and overlapping intervals; columns of ``build`` get ``suffix``. ``left`` keeps every probe row;
     it finds the rows without a partner by the unique column ``ident``, or by all columns (equal rows have equal partners)."""
-    b = once(build).select(*[F.col(c).alias(c + suffix) for c in build.columns])
+    probe = once(probe)
+    b = once_b = once(build).select(*[F.col(c).alias(c + suffix) for c in build.columns])
     bs, be = start + suffix, end + suffix
-    ok = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in [*(k + suffix for k in keys), bs, be]])
-    b = b.where(ok & (F.col(be) >= F.col(bs))).withColumn("_level_b", _level(F.col(bs), F.col(be)))
-    known = b.agg(F.struct(F.coalesce(F.collect_set("_level_b"), F.array().cast("array<int>")).alias("levels"), F.min(bs).alias("lo"), F.max(be).alias("hi")).alias("_known"))  # one row
-    level, width = F.col("_level_b"), F.col("_known.hi") - F.col("_known.lo")
-    b = b.transform(attach, known).withColumn("_bin_b", F.explode(F.sequence(_bin(F.col(bs), level), _bin(F.greatest(F.col(be) - 1, F.col(bs)), level))))
-    b = b.withColumn("_salt_b", F.explode(F.sequence(F.lit(0), _salts(width, level) - 1))).drop("_known")
-    ok = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in [*keys, start, end]])
-    level = F.col("_level")
-    a = probe.where(ok & (F.col(end) >= F.col(start))).transform(attach, known).where((F.col(end) >= F.col("_known.lo")) & (F.col(start) <= F.col("_known.hi")))
-    a = a.withColumn("_level", F.explode("_known.levels"))
-    a = a.withColumn("_bin", F.explode(F.sequence(_bin(F.col(start), level), _bin(F.greatest(F.col(end) - 1, F.col(start)), level))))
-    row = [ident] if ident else [f.name for f in probe.schema if not isinstance(f.dataType, T.MapType | T.VariantType)]
-    a = a.withColumn("_salt", F.pmod(F.xxhash64(*row), _salts(width, level)).cast("int")).drop("_known")
+    b = _placed(b, [k + suffix for k in keys], bs, be, "_b")
+    a = _placed(probe, keys, start, end, "_a")
+    known = b.agg(F.struct(_levels("_own_b"), F.min(bs).alias("lo"), F.max(be).alias("hi")).alias("_known"))  # one row
+    others = a.agg(_levels("_own_a").alias("_others"))
+    width = F.col("_known.hi") - F.col("_known.lo")
+    own = F.col("_own_a")
+    up = F.transform(F.filter("_known.levels", lambda x: x >= own), lambda x: F.struct(F.lit(0).alias("kind"), x.alias("level")))
+    host = F.when(F.coalesce(F.array_min("_known.levels") < own, F.lit(False)), F.array(F.struct(F.lit(1).alias("kind"), own.alias("level")))).otherwise(F.filter(up, lambda x: F.lit(False)))
+    a = a.transform(attach, known).where((F.col(end) >= F.col("_known.lo")) & (F.col(start) <= F.col("_known.hi")))
+    row = [ident] if ident else _hashable(probe)
+    a = _spread(a.withColumn("_at", F.explode(F.concat(up, host))), start, end, width, F.col("_at.kind") == 0, row, "_a").drop("_known")
+    own = F.col("_own_b")
+    up = F.transform(F.filter("_others", lambda x: x > own), lambda x: F.struct(F.lit(1).alias("kind"), x.alias("level")))
+    b = b.transform(attach, known).transform(attach, others).withColumn("_at", F.explode(F.concat(F.array(F.struct(F.lit(0).alias("kind"), own.alias("level"))), up)))
+    b = _spread(b, bs, be, width, F.col("_at.kind") == 1, _hashable(once_b), "_b").drop("_known", "_others")
     on = [F.col(k) == F.col(k + suffix) for k in keys]
-    on += [F.col("_level") == F.col("_level_b"), F.col("_bin") == F.col("_bin_b"), F.col("_salt") == F.col("_salt_b"), overlaps(F.col(start), F.col(end), F.col(bs), F.col(be))]
-    on += [F.col("_bin") == _bin(F.greatest(F.col(start), F.col(bs)), F.col("_level"))]
-    pairs = a.join(b, reduce(lambda x, y: x & y, on)).drop("_level", "_bin", "_salt", "_level_b", "_bin_b", "_salt_b")
+    on += [F.col(f"_{c}_a") == F.col(f"_{c}_b") for c in ("kind", "level", "bin", "salt")]
+    on += [overlaps(F.col(start), F.col(end), F.col(bs), F.col(be)), F.col("_bin_a") == _bin(F.greatest(F.col(start), F.col(bs)), F.col("_level_a"))]
+    pairs = a.join(b, reduce(lambda x, y: x & y, on)).drop(*[f"_{c}_{x}" for c in ("own", "kind", "level", "bin", "salt") for x in "ab"])
     if how == "inner":
         return pairs
     if ident is not None:

@@ -80,12 +80,12 @@ def latest_groups(updates: DataFrame, key: str) -> DataFrame:
     return updates.groupBy(key, "group").agg(F.max_by(F.struct("first", "last", "n"), "n").alias("_g")).select(key, "group", "_g.*")
 
 
-def running_names(df: DataFrame, name: str, time: str, order: str) -> DataFrame:
-    """rename of a stream: the n-th row of a name becomes ``name_n``; rows of one batch are taken by time, then ``order``."""
+def running_names(df: DataFrame, name: str, time: str, order: str | None = None) -> DataFrame:
+    """rename of a stream: the n-th row of a name becomes ``name_n``; rows of one batch are taken by time, then ``order`` (a unique column; without it rows of one time come as they arrive)."""
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values([time, order]).reset_index(drop=True)
+        rows = pd.concat(list(batches)).sort_values([time, order] if order else [time], kind="stable").reset_index(drop=True)
         rows[name] = [x if seen + i == 0 else f"{x}_{seen + i + 1}" for i, x in enumerate(rows[name])]
         state.update((seen + len(rows),))
         yield rows

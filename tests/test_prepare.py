@@ -165,3 +165,21 @@ def test_stretches(spark, tile, monkeypatch):
         want += [("merged", *k, s, e) for s, e in zip(m.starts, m.ends)] + [("gap", *k, s, e) for s, e in m.gaps()]
     assert got == sorted(want)
     assert coverage.stretches(df.limit(0), ["tile"]).count() == 0
+
+
+def test_filled_place_holders(spark):
+    df = spark.createDataFrame([(1, 0, "-00,5,+07,-3,0nil,-", "00NA;-0;000;-01")], "bed_id long, start long, blockSizes string, blockStarts string")
+    got = sorted((r.field_name, r.pos, r.val) for r in packed.block_list(df).collect())
+    assert got == [("blockSizes", 1, 5), ("blockSizes", 2, 7), ("blockSizes", 3, -3), ("blockStarts", 2, 0), ("blockStarts", 3, -1)]
+
+
+def test_typed_scores(spark):
+    head = "c\ts\texon\t1\t2\t"
+    lines = [head + s + '\t.\t.\tgene_id "g";' for s in (".", "-1.5e3", "NaN", "1d", "", "1.", "7")] + [head + "1\t+\t.", head + "1\t+\t.\tk v\tx"]
+    df = spark.createDataFrame([(i, "gtf", x) for i, x in enumerate(lines)], "line_id long, kind string, line string")
+    assert {r.line_id: r.reason for r in badrows.failing_lines(df).collect()} == {2: "value", 3: "value", 4: "value", 5: "value", 7: "column_count", 8: "column_count"}
+    assert sorted((r.line_id, r.score, r.strand, r.frame) for r in badrows.sound_records(df, "gtf").where("score IS NOT NULL").collect()) == [(1, -1500.0, ".", "."), (6, 7.0, ".", ".")]
+    bed = ["c\t1\t2\tn\t" + s + "\t+\t1\t2\t.\t1\t1,\t0," for s in ("0", "1000", "1001", "+5", "007", ".", "99999999999")]
+    df = spark.createDataFrame([(i, "bed12", x) for i, x in enumerate(bed)], "line_id long, kind string, line string")
+    assert {r.line_id for r in badrows.failing_lines(df).collect()} == {2, 3, 5, 6}
+    assert sorted((r.score, r.itemRgb) for r in badrows.sound_records(df, "bed12").collect()) == [(0, "."), (7, "."), (1000, ".")]
