@@ -88,9 +88,10 @@ def bed6_file(spark: SparkSession, d: str) -> DataFrame:
 @R.add("bed12_file", """SELECT bed_id::VARCHAR AS name, chrom, start, "end", coalesce(score, 'None') AS score, coalesce(strand, 'None') AS strand, "thickStart", "thickEnd", "itemRgb"::BIGINT AS "itemRgb", "blockCount"::BIGINT AS "blockCount",
  coalesce("blockSizes", 'None') AS "blockSizes", coalesce("blockStarts", 'None') AS "blockStarts" FROM bed12 WHERE coalesce(regexp_matches("blockSizes" || "blockStarts", '[\t\r\n]'), false) = false""")
 def bed12_file(spark: SparkSession, d: str) -> DataFrame:
-    b = load(spark, d, "bed12").where(~F.coalesce(F.concat("blockSizes", "blockStarts").rlike("[\t\r\n]"), F.lit(False)))  # the format cannot hold these
+    b = load(spark, d, "bed12").where(~F.coalesce(F.concat("blockSizes", "blockStarts").rlike("[\t\r\n]"), F.lit(False)))  # as the SQL: a row where either is null stays, whatever the other holds
     cols = ["chrom", "start", "end", "bed_id", "score", "strand", "thickStart", "thickEnd", "itemRgb", "blockCount", "blockSizes", "blockStarts"]
-    return text.bed12(spark, _written(sinks.row_text(b, cols))).drop("path", "blocks")
+    back = text.bed12(spark, _written(sinks.row_text(b, cols, escape=True)), escaped=True).drop("path", "blocks")
+    return back.withColumns({c: F.coalesce(c, F.lit("None")) for c in ("score", "strand", "blockSizes", "blockStarts")})
 
 
 @R.add("bed_loci", """SELECT interval_id::VARCHAR AS id, chrom, start, "end", CASE WHEN strand = '-' THEN '-' ELSE '+' END AS strand, 50000 AS before, 50000 AS after FROM bed6 WHERE chrom IS NOT NULL""")

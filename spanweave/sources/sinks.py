@@ -6,13 +6,29 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanweave.functions.sequence import wrap
 
 
-def row_text(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(value): columns between tabs, nulls as ``None``."""
-    return df.select(F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in columns or df.columns]).alias("value"))
+#: Fixed value: signs that a field cannot hold, as GFF3 writes them; the percent sign is escaped first and restored last.
+ESCAPES = (("%", "%25"), ("\t", "%09"), ("\r", "%0D"), ("\n", "%0A"))
+#: A text that reads like a null, escaped.
+NONE_TEXT = "%4Eone"
+
+
+def escaped(field: Column) -> Column:
+    """A text as a field without tabs and line ends; ``text.unescaped`` gives it back."""
+    for sign, code in ESCAPES:
+        field = F.replace(field, F.lit(sign), F.lit(code))
+    return F.when(field == "None", NONE_TEXT).otherwise(field)
+
+
+def row_text(df: DataFrame, columns: list[str] | None = None, escape: bool = False) -> DataFrame:
+    """(value): columns between tabs, nulls as ``None``. With ``escape`` every text can be read back, whatever it holds."""
+    texts = {f.name for f in df.schema if isinstance(f.dataType, T.StringType)} if escape else set()
+    fields = [escaped(F.col(c)) if c in texts else F.col(c).cast("string") for c in columns or df.columns]
+    return df.select(F.concat_ws("\t", *[F.coalesce(x, F.lit("None")) for x in fields]).alias("value"))
 
 
 def write_lines(df: DataFrame, path: str, column: str = "value", gzip: bool = False) -> None:

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from spanweave.functions.attributes import attribute_map
 from spanweave.functions.blocks import bed12_blocks
+from spanweave.sources.sinks import ESCAPES, NONE_TEXT
 
 Paths = str | list[str]
 
@@ -73,12 +74,20 @@ def filter_features(df: DataFrame, features: list[str] | None = None, **lists: l
 
 
 # ---- BED ----
-def _bed(spark: SparkSession, paths: Paths, names: list[str], whole: set[str]) -> DataFrame:
+def unescaped(field: Column) -> Column:
+    """The text of a field that ``sinks.row_text`` wrote with ``escape``; ``None`` is null."""
+    out = F.nullif(field, F.lit("None"))
+    for sign, code in (("N", NONE_TEXT[:3]), *reversed(ESCAPES)):
+        out = F.replace(out, F.lit(code), F.lit(sign))
+    return out
+
+
+def _bed(spark: SparkSession, paths: Paths, names: list[str], whole: set[str], escaped: bool = False) -> DataFrame:
     rows = lines(spark, paths).withColumn("_f", F.split("value", "\t", -1))
     cols = []
     for i, n in enumerate(names):
         x = F.coalesce(F.get("_f", F.lit(i)), F.lit(""))
-        cols.append((F.expr(f"try_cast(get(_f, {i}) AS BIGINT)") if n in whole else x).alias(n))
+        cols.append((F.expr(f"try_cast(get(_f, {i}) AS BIGINT)") if n in whole else unescaped(x) if escaped else x).alias(n))
     return rows.select("path", *cols)
 
 
@@ -91,10 +100,12 @@ def bed6(spark: SparkSession, paths: Paths) -> DataFrame:
     return _bed(spark, paths, _BED6, {"start", "end"}).withColumn("strand", F.when(F.col("strand") == "", "+").otherwise(F.col("strand")))
 
 
-def bed12(spark: SparkSession, paths: Paths) -> DataFrame:
-    """With ``blocks``, the absolute exons."""
-    df = _bed(spark, paths, _BED12, {"start", "end", "thickStart", "thickEnd", "itemRgb", "blockCount"})
-    return df.withColumn("strand", F.when(F.col("strand") == "", "+").otherwise(F.col("strand"))).withColumn("blocks", bed12_blocks(F.col("start"), F.col("blockSizes"), F.col("blockStarts")))
+def bed12(spark: SparkSession, paths: Paths, escaped: bool = False) -> DataFrame:
+    """With ``blocks``, the absolute exons. ``escaped`` fields (see ``sinks.row_text``) come back as they were, an empty strand too."""
+    df = _bed(spark, paths, _BED12, {"start", "end", "thickStart", "thickEnd", "itemRgb", "blockCount"}, escaped)
+    if not escaped:
+        df = df.withColumn("strand", F.when(F.col("strand") == "", "+").otherwise(F.col("strand")))
+    return df.withColumn("blocks", bed12_blocks(F.col("start"), F.col("blockSizes"), F.col("blockStarts")))
 
 
 def bed_loci(df: DataFrame, flank: int = 50_000) -> DataFrame:

@@ -69,6 +69,20 @@ def test_bed12_exons_of_every_row(spark, tmp_path):
     assert got == [(r[0], r[4]) for r in rows]
 
 
+def test_bed12_file_keeps_every_text(spark, tmp_path):
+    rows = [
+        (1, "c", 1, 9, "0", "+", 1, 9, 0, 2, "5\t6", None), (2, "c", 1, 9, None, None, None, None, None, None, None, "5\r\n6\n"), (3, None, -1, None, "a\tb", "", 1, 9, 0, 1, "%09%", "\\t%4Eone"),
+        (None, "None", 1, 9, "None", "-", 1, 9, 0, 1, "", "%25"), (5, "%4Eone", 1, 9, "\r", "\n", 1, 9, 0, 1, None, None), (6, "", 1, 9, "", "+", 1, 9, 0, 1, "5", "0"),
+        (7, "c", 1, 9, "0", "+", 1, 9, 0, 1, "5\t6", "0"), (8, "c", 1, 9, "0", "+", 1, 9, 0, 1, "5", "0\n"),
+    ]
+    columns = "bed_id long, chrom string, start long, end long, score string, strand string, thickStart long, thickEnd long, itemRgb int, blockCount int, blockSizes string, blockStarts string"
+    spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/bed12.parquet")
+    got = [tuple(r[c] for c in ("name", "chrom", "start", "end", "score", "strand", "thickStart", "thickEnd", "itemRgb", "blockCount", "blockSizes", "blockStarts")) for r in entry.queries()["bed12_file"](spark, str(tmp_path)).collect()]
+    texts = {4, 5, 10, 11}  # score, strand and the two lists: the SQL has None for null
+    want = [tuple(str(v) if i in texts or (i == 0 and v is not None) else v for i, v in enumerate(r)) for r in rows[:6]]  # of the last two both lists are there, and one holds a tab or line end
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_flow_concat_of_whole_tables(spark, tmp_path):
     rows = [(i, i % 5, "view", 1.0) for i in range(3, 1200)]
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
